@@ -9,6 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructType
+
+_DECODED = StructType().add("array", ArrayType(FloatType())).add("sampling_rate", IntegerType()).add("error", StringType())
 
 
 def peak_normalise(a: Column) -> Column:
@@ -43,7 +46,7 @@ def argmax(steps: Column) -> Column:
     return F.transform(steps, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int"))
 
 
-@F.pandas_udf("array array<float>, sampling_rate int, error string")
+@F.pandas_udf(_DECODED)
 def decode_wav(content: pd.Series) -> pd.DataFrame:
     """Samples in [-1, 1] (channels averaged) of PCM WAV bytes; what cannot be decoded has an error."""
     rows = []

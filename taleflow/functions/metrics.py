@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-COUNTS = "hits long, substitutions long, deletions long, insertions long"
+COUNTS = StructType().add("hits", LongType()).add("substitutions", LongType()).add("deletions", LongType()).add("insertions", LongType())
 
 
 def align(ref: list, hyp: list) -> tuple[int, int, int, int]:

@@ -1,12 +1,21 @@
-"""Queries of the core operators over the test tables."""
+"""Queries of the core operators over the test tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from .operators.utterances import file_periods
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions import audio, demographics, metrics, numerals, text
+from .operators import builds, collate, corpus, cube, filters, speaker_splits
+from .operators.utterances import file_periods, id_parts, recording_file
 from .plans.registry import Registry
+from .sources import readers, sinks
 from .sources.tables import table
 
 REGISTRY = Registry()
+query = REGISTRY.query
+
+# ---------------------------------------------------------------- intervals
 
 _P3_SPANS = r"""
 with u as (
@@ -21,7 +30,501 @@ p as (select f, min(s) s, max(e) e from x group by f, g),
 q as (select f, e, lead(s) over (partition by f order by s) n from p)
 """
 
-REGISTRY.query(
-    "p3_found",
-    _P3_SPANS + "select f as src_fname, 'period' as kind, s as start_ms, e as end_ms from p union all select f, 'gap', e, n from q where n is not null",
-)(lambda spark, d: file_periods(table(spark, d, "utterances")))
+query("p3_found", _P3_SPANS + "select f as src_fname, 'period' as kind, s as start_ms, e as end_ms from p union all select f, 'gap', e, n from q where n is not null")(
+    lambda s, d: file_periods(table(s, d, "utterances"))
+)
+
+# ---------------------------------------------------------------- text
+
+_STRIP = r"regexp_replace({}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')"
+
+
+def _sql_convert(expr: str) -> str:
+    for old, new in text.CONVERSIONS.items():
+        expr = f"replace({expr}, '{old}', '{new}')"
+    return expr
+
+
+def _sql_clean(expr: str, keep: str | None) -> str:
+    filler = r"'(^|[^\p{L}\p{N}_])(?:eh+m*|øh+m*|h+m+|m+h+)($|[^\p{L}\p{N}_])'"
+    e = f"lower({expr})"
+    for _ in range(3):  # neighbours share a boundary
+        e = rf"regexp_replace({e}, {filler}, '\1\2', 'g')"
+    e = _STRIP.format(_sql_convert(e))
+    if keep:
+        e = rf"regexp_replace({e}, '[^{keep} |]', ' ', 'g')"
+    e = rf"regexp_replace({e}, ' +', ' ', 'g')"
+    lines = _STRIP.format("x")
+    return rf"regexp_replace(array_to_string(list_transform(string_split({e}, chr(10)), lambda x: {lines}), chr(10)), '^\n+|\n+$', '', 'g')"
+
+
+_KEEP = "abcdefghijklmnopqrstuvwxyzæøåéü0123456789.,?!:;'"
+
+query("clean_native", f"select doc_id, {_sql_clean('text', _KEEP.replace(chr(39), chr(39) * 2))} as clean_text from documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", text.clean(F.col("text"), keep=_KEEP).alias("clean_text"))
+)
+query("clean_nfkc")(lambda s, d: table(s, d, "documents").select("doc_id", text.clean(F.col("text"), keep=_KEEP, nfkc=True).alias("clean_text")))
+
+
+@query("numerals_in_text")
+def _numerals_in_text(s, d):
+    t = numerals.with_words(table(s, d, "documents").select("doc_id", "text"))
+    return t.select("doc_id", numerals.verbalise(F.col("text"), F.col("number_words")).alias("spoken"))
+
+
+_NUMBERS = """
+with u as (select ['nul','en','to','tre','fire','fem','seks','syv','otte','ni','ti','elleve','tolv','tretten','fjorten','femten','seksten','sytten','atten','nitten'] a,
+  ['','','tyve','tredive','fyrre','halvtreds','tres','halvfjerds','firs','halvfems'] t),
+h as (select n, case when n < 20 then a[n + 1] when n % 10 = 0 then t[n // 10 + 1] else a[n % 10 + 1] || 'og' || t[n // 10 + 1] end w from u, range(100) r(n)),
+k as (select n.n, case when n.n < 100 then h.w else (case when n.n // 100 = 1 then 'et' else a[n.n // 100 + 1] end) || ' hundrede' || (case when n.n % 100 = 0 then '' else ' og ' || h.w end) end w
+  from range(1000) n(n) join h on h.n = n.n % 100, u),
+z as (select distinct o_orderkey v, o_orderkey // 1000000 m, (o_orderkey // 1000) % 1000 k, o_orderkey % 1000 u, o_orderkey % 1000000 low from orders),
+j as (select z.*, km.w wm, kk.w wk, ku.w wu from z join k km on km.n = z.m join k kk on kk.n = z.k join k ku on ku.n = z.u),
+l as (select *, case when k > 0 then (case when k = 1 then 'et' else wk end) || ' tusind' || (case when u = 0 then '' when u < 100 then ' og ' || wu else ' ' || wu end) else wu end lw from j)
+select v as o_orderkey, case when v = 100 then 'hundrede' when v = 1000 then 'tusind' when v < 1000000 then lw
+  else wm || (case when m = 1 then ' million' else ' millioner' end) || (case when low = 0 then '' when low < 100 then ' og ' || lw else ' ' || lw end) end as spoken from l
+"""
+
+
+@query("numerals_to_words", _NUMBERS)
+def _numerals(s, d):
+    t = numerals.with_words(table(s, d, "orders").select("o_orderkey").distinct())
+    return t.select("o_orderkey", numerals.spoken(F.col("o_orderkey").cast("string"), F.col("number_words")).alias("spoken"))
+
+
+query("strip_unk", f"select utterance_id, start_time, {_STRIP.format("replace(transcript, '<UNK>', '')")} as text from utterances")(
+    lambda s, d: table(s, d, "utterances").select("utterance_id", "start_time", text.strip_unknown(F.col("transcript")).alias("text"))
+)
+query("fix_text", f"select id_recording, case when text not in ('', '{text.SILENCE}') then text end as text from samples")(
+    lambda s, d: table(s, d, "samples").select("id_recording", text.blank_to_null(F.col("text")).alias("text"))
+)
+query("original_filename", "select utterance_id, end_time, replace(list_extract(string_split(list_extract(string_split(lower(utterance_id || '.wav'), '-'), -1), '_'), -1), '.wav', '') as original from utterances")(
+    lambda s, d: table(s, d, "utterances").select("utterance_id", "end_time", text.original_filename(F.concat("utterance_id", F.lit(".wav"))).alias("original"))
+)
+query("extract_links", "select id_recording, list_extract(regexp_extract_all('<p><a href=\"' || source_url || '\">lyd</a></p>', '<a href=\"(.+?)\">', 1), 1) as link from samples")(
+    lambda s, d: table(s, d, "samples").select("id_recording", F.get(text.links(F.concat(F.lit('<p><a href="'), "source_url", F.lit('">lyd</a></p>'))), 0).alias("link"))
+)
+query("display_names", "select distinct source, lower(replace(replace(source, 'oe', 'ø'), 'ae', 'æ')) as display from documents")(
+    lambda s, d: table(s, d, "documents").select("source", F.lower(F.replace(F.replace("source", F.lit("oe"), F.lit("ø")), F.lit("ae"), F.lit("æ"))).alias("display")).distinct()
+)
+query("filename_mangling", "select distinct source_url, replace(replace(replace(source_url, '/', '--'), '::', '-'), '.', '-') as mangled from samples")(
+    lambda s, d: table(s, d, "samples").select("source_url", text.mangle(F.col("source_url")).alias("mangled")).distinct()
+)
+
+
+@query(
+    "dataset_names",
+    r"""with n as (select distinct event_type || ':' || (user_id % 7)::varchar || '@' || (user_id % 3)::varchar n from events), m as (select n, regexp_replace(n, ':', '::') k from n)
+    select n as name, split_part(k, '::', 1) as id, split_part(split_part(k, '::', 2), '@', 1) as subset, split_part(k, '@', 2) as revision from m""",
+)
+def _dataset_names(s, d):
+    n = table(s, d, "events").select(F.concat("event_type", F.lit(":"), (F.col("user_id") % 7).cast("string"), F.lit("@"), (F.col("user_id") % 3).cast("string")).alias("name")).distinct()
+    return n.select("name", *[c.alias(k) for k, c in text.dataset_name_columns(F.col("name")).items()])
+
+
+query("corpus_key", "select md5(string_agg(source, ',' order by source)) as key from (select distinct source from mix_targets)")(
+    lambda s, d: table(s, d, "mix_targets").agg(F.md5(F.array_join(F.array_sort(F.collect_set("source")), ",")).alias("key"))
+)
+
+# ---------------------------------------------------------------- scalar functions
+
+query("safe_int", "select id_recording, try_cast(regexp_replace(noise_type, '^v', '1') as int) as level, try_cast(cast(age as varchar) as int) as age from samples")(
+    lambda s, d: table(s, d, "samples").select("id_recording", demographics.safe_int(F.regexp_replace("noise_type", "^v", "1")).alias("level"), demographics.safe_int(F.col("age").cast("string")).alias("age"))
+)
+query(
+    "timestamp_parse",
+    """select event_id, strftime(strptime(strftime(ts, '%d %b %YT%H:%M:%S'), '%d %b %YT%H:%M:%S'), '%Y-%m-%dT%H:%M:%S') as iso, strftime(ts, '%H%M') as hhmm from events""",
+)(
+    lambda s, d: table(s, d, "events").select("event_id", F.to_timestamp(F.date_format("ts", "dd MMM yyyy'T'HH:mm:ss"), "dd MMM yyyy'T'HH:mm:ss").alias("t"))
+    .select("event_id", F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format("t", "HHmm").alias("hhmm"))
+)
+query(
+    "age_groups",
+    """select age, case when age >= 0 and age < 25 then '0-24' when age >= 25 and age < 50 then '25-49' when age >= 50 then '50-' end as split_group,
+    case when age >= 0 and age < 25 then '0-25' when age >= 25 and age < 50 then '25-50' when age >= 50 then '50+' end as score_group, count(*) as n from samples group by 1, 2, 3""",
+)(
+    lambda s, d: table(s, d, "samples").select("age", demographics.age_group(F.col("age")).alias("split_group"), demographics.evaluation_age_group(F.col("age")).alias("score_group")).groupBy("age", "split_group", "score_group").agg(F.count("*").alias("n"))
+)
+query(
+    "dialect_lookup",
+    """select case when coalesce(country_birth, 'DK') <> 'DK' then 'Non-native' else m.dialect end as dialect, count(*) as n
+    from samples s left join dialect_map m on s.dialect = m.sub_dialect group by 1""",
+)(lambda s, d: demographics.main_dialect(table(s, d, "samples"), table(s, d, "dialect_map")).groupBy("dialect").agg(F.count("*").alias("n")))
+
+# ---------------------------------------------------------------- filters
+
+query("filter_null_safe", "select id_recording from samples where validated is distinct from 'rejected' and validated is distinct from 'maybe' and gender is distinct from 'nonbinary'")(
+    lambda s, d: table(s, d, "samples").filter(filters.none_of(F.col("validated"), "rejected", "maybe") & filters.none_of(F.col("gender"), "nonbinary")).select("id_recording")
+)
+query("filter_samples", f"select id_recording from samples where length({_STRIP.format('text')}) > 0 and validated is distinct from 'rejected'")(
+    lambda s, d: filters.filter_samples(table(s, d, "samples"), "text").select("id_recording")
+)
+query("filter_duration", "select vec_id from embeddings where len(list_filter(embedding, lambda x: x > 0)) > 16 * 1.75 and len(list_filter(embedding, lambda x: x > 0)) < 16 * 2.25")(
+    lambda s, d: table(s, d, "embeddings").withColumn("a", F.filter("embedding", lambda x: x > 0)).filter(filters.within_duration(F.col("a"), 16, 1.75, 2.25)).select("vec_id")
+)
+query("filter_max_cer", "select id_recording, asr_cer from samples where asr_cer < 0.6")(lambda s, d: filters.below_error(table(s, d, "samples")).select("id_recording", "asr_cer"))
+query("filter_usable_segments", rf"select id_conversation, chunk_no from raw_transcripts where length({_STRIP.format('text')}) > 0 and not regexp_matches(text, '\*\*\*(.*?)\*\*\*') and not regexp_matches(text, '\[(.*?)\]')")(
+    lambda s, d: table(s, d, "raw_transcripts").filter(filters.usable_segment(F.col("text"))).select("id_conversation", "chunk_no")
+)
+query("drop_nulls", "select id_recording from samples where asr_cer is not null and asr_prediction is not null and gender is not null and dialect is not null")(
+    lambda s, d: table(s, d, "samples").na.drop(subset=["asr_cer", "asr_prediction", "gender", "dialect"]).select("id_recording")
+)
+query("removed_rows", f"select count(*) as n_before, count(*) filter (where length({_STRIP.format('text')}) > 0 and validated is distinct from 'rejected') as n_after from samples")(
+    lambda s, d: table(s, d, "samples").agg(F.count("*").alias("n_before"), F.count_if(filters.has_text(F.col("text")) & filters.none_of(F.col("validated"), "rejected")).alias("n_after"))
+)
+query("filter_files", "select utterance_id, end_time from utterances where end_time * 1000 >= 8192 and not isnan(end_time) and not utterance_id like 'S0001%' and not utterance_id like 's0001%'")(
+    lambda s, d: filters.large_enough(table(s, d, "utterances").filter(~F.isnan("end_time")).withColumn("size", F.col("end_time") * 1000), "size", "utterance_id", ("S0001", "s0001")).select("utterance_id", "end_time")
+)
+query(
+    "banned_speakers",
+    "select distinct id_speaker from speakers where id_speaker is not null and id_speaker not in (select distinct speaker_id from samples where asr_wer > 0.5 and speaker_id is not null)",
+)(
+    lambda s, d: table(s, d, "speakers").filter("id_speaker is not null").select("id_speaker").distinct()
+    .join(table(s, d, "samples").filter("asr_wer > 0.5").select(F.col("speaker_id").alias("id_speaker")), "id_speaker", "left_anti")
+)
+
+# ---------------------------------------------------------------- joins and sets
+
+
+@query(
+    "join_recordings",
+    """select r.id_recording, r.text, p.occupation from samples r
+    join (select id_speaker, min(occupation) occupation from speakers group by 1) p on r.speaker_id = p.id_speaker join (select distinct id_sentence from samples where validated = 'accepted') s using (id_sentence)""",
+)
+def _join_recordings(s, d):
+    r = table(s, d, "samples")
+    sentences = r.filter("validated = 'accepted'").select("id_sentence").distinct()
+    speakers = table(s, d, "speakers").groupBy("id_speaker").agg(F.min("occupation").alias("occupation"))
+    return builds.read_aloud(r, sentences, speakers, "id_sentence", "id_speaker", "speaker_id").select("id_recording", "text", "occupation")
+
+
+query("table_counts", "select (select count(*) from samples) as n_samples, (select count(*) from speakers) as n_speakers, (select count(*) from conversation_meta) as n_conversations")(
+    lambda s, d: table(s, d, "samples").agg(F.count("*").alias("n_samples")).crossJoin(table(s, d, "speakers").agg(F.count("*").alias("n_speakers"))).crossJoin(table(s, d, "conversation_meta").agg(F.count("*").alias("n_conversations")))
+)
+
+
+@query("semi_union", "select distinct id_speaker from speakers where id_speaker in (select id_speaker_a from conversation_meta union select id_speaker_b from conversation_meta union select id_recorder from conversation_meta)")
+def _semi_union(s, d):
+    c = table(s, d, "conversation_meta")
+    ids = c.select(F.explode(F.array("id_speaker_a", "id_speaker_b", "id_recorder")).alias("id_speaker")).distinct()
+    return table(s, d, "speakers").select("id_speaker").distinct().join(ids, "id_speaker", "left_semi")
+
+
+query(
+    "exists_or",
+    "select distinct id_conversation from conversation_meta where id_speaker_a in (select id_speaker from speakers) or id_speaker_b in (select id_speaker from speakers) or id_recorder in (select id_speaker from speakers)",
+)(lambda s, d: builds.known_conversations(table(s, d, "conversation_meta").filter("id_conversation is not null"), table(s, d, "speakers"), ["id_speaker_a", "id_speaker_b", "id_recorder"], "id_speaker").select("id_conversation").distinct())
+
+
+def _stems(s, d):
+    u = table(s, d, "utterances").select("utterance_id", "split").dropDuplicates(["utterance_id"])
+    return u.filter("utterance_id is not null").select("utterance_id", F.concat(F.lit("/lyd/"), F.lower("split"), F.lit("/"), "utterance_id", F.lit(".wav")).alias("path"))
+
+
+_STEMS = "with u as (select distinct utterance_id from utterances where utterance_id is not null), e as (select distinct utterance_id from utterances where transcript is not null and transcript <> '') "
+query("match_files", _STEMS + "select utterance_id, regexp_extract('/lyd/' || utterance_id || '.wav', '([^/]*)\\.wav$', 1) as stem from e join u using (utterance_id)")(
+    lambda s, d: table(s, d, "utterances").filter("transcript is not null and transcript <> ''").select("utterance_id").distinct()
+    .join(readers.last_listed(_stems(s, d).withColumn("stem", readers.stem(F.col("path"))).drop("utterance_id")), F.col("utterance_id") == F.col("stem")).select("utterance_id", "stem")
+)
+query("missing_files", _STEMS + "select utterance_id from u where utterance_id not in (select utterance_id from e)")(
+    lambda s, d: _stems(s, d).select("utterance_id").join(table(s, d, "utterances").filter("transcript is not null and transcript <> ''").select("utterance_id"), "utterance_id", "left_anti")
+)
+
+
+@query(
+    "index_join",
+    """with l as (select row_number() over (order by item_id) n, item_id from eval_items), f as (select distinct user_id % 3 = 0 mic, user_id::int id from events),
+    g as (select mic, case when mic and id >= 100 then id - 7 else id end id from f), h as (select mic, case when mic and id >= 150 then id + 1 else id end id from g)
+    select case when mic then 'mic' else 'spk' end as speaker_id, h.id as transcription_id, l.item_id from h join l on l.n = h.id where h.id >= 0""",
+)
+def _index_join(s, d):
+    lines = table(s, d, "eval_items").select(F.row_number().over(Window.orderBy("item_id")).alias("n"), "item_id")  # a fixed table of 300
+    f = table(s, d, "events").select((F.col("user_id") % 3 == 0).alias("mic"), F.col("user_id").cast("int").alias("id")).distinct()
+    f = f.withColumn("id", F.when(F.col("mic") & (F.col("id") >= 100), F.col("id") - 7).otherwise(F.col("id")))
+    f = f.withColumn("id", F.when(F.col("mic") & (F.col("id") >= 150), F.col("id") + 1).otherwise(F.col("id")))
+    return f.filter("id >= 0").join(lines, F.col("id") == F.col("n")).select(F.when(F.col("mic"), "mic").otherwise("spk").alias("speaker_id"), F.col("id").alias("transcription_id"), "item_id")
+
+
+@query(
+    "key_join_tiebreak",
+    """with f as (select strftime(ts, '%H%M') k, event_id from events), r as (select id_recording, strftime(recorded_at, '%H%M') k from samples),
+    g as (select k, min(event_id) file, count(*) n from f group by 1) select r.id_recording, g.file, g.n as n_files from r left join g using (k)""",
+)
+def _key_join(s, d):
+    f = table(s, d, "events").select(F.date_format("ts", "HHmm").alias("key"), "event_id")
+    r = table(s, d, "samples").select("id_recording", F.date_format("recorded_at", "HHmm").alias("key"))
+    one = f.groupBy("key").agg(F.min("event_id").alias("file"), F.count("*").alias("n_files"))
+    return r.join(one, "key", "left").select("id_recording", "file", "n_files")
+
+
+@query("set_operations", "select 'union' as op, count(*) as n from (select id_speaker from speakers union select speaker_id from samples) union all select 'intersect', count(*) from (select id_speaker from speakers intersect select speaker_id from samples) union all select 'except', count(*) from (select id_speaker from speakers except select speaker_id from samples)")
+def _set_operations(s, d):
+    a, b = table(s, d, "speakers").select(F.col("id_speaker").alias("x")), table(s, d, "samples").select(F.col("speaker_id").alias("x"))
+    n = lambda df, op: df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
+    return n(a.union(b).distinct(), "union").union(n(a.intersect(b), "intersect")).union(n(a.subtract(b), "except"))
+
+
+@query(
+    "split_by_speaker",
+    """with v as (select distinct speaker_id, case when split like 'test%' then 'test' when split like 'val%' then 'val' end k from samples where speaker_id is not null),
+    t as (select distinct speaker_id from v where k = 'test'), w as (select distinct speaker_id from v where k = 'val' and speaker_id not in (select * from t))
+    select case when speaker_id in (select * from t) then 'test' when speaker_id in (select * from w) then 'val' else 'train' end as split, count(*) as n_rows, count(distinct speaker_id) as n_speakers from samples group by 1""",
+)
+def _split_by_speaker(s, d):
+    r = table(s, d, "samples")
+    t = r.filter("split like 'test%' and speaker_id is not null").select("speaker_id").distinct()
+    v = r.filter("split like 'val%' and speaker_id is not null").select("speaker_id").distinct().join(t, "speaker_id", "left_anti")
+    return speaker_splits.split_by_speaker(r.drop("split"), "speaker_id", t, v).groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("speaker_id").alias("n_speakers"))
+
+
+# ---------------------------------------------------------------- builds
+
+_EVENTS = r"""
+with l as (select id_conversation, chunk_no, unnest(string_split(replace(text, chr(13), ''), chr(10))) line from raw_transcripts),
+e as (select id_conversation, chunk_no, regexp_extract(line, '^Dialogue:[^,]*,([^,]*),([^,]*),[^,]*,([^,]*),[^,]*,[^,]*,[^,]*,[^,]*,(.*)$', ['a', 'b', 'name', 'text']) x from l where line like 'Dialogue:%'),
+f as (select id_conversation, chunk_no, ((split_part(x.a, ':', 1)::int * 60 + split_part(x.a, ':', 2)::int) * 60 + split_part(split_part(x.a, ':', 3), '.', 1)::int) * 1000 + split_part(x.a, '.', 2)::int * 10 as start_ms,
+  ((split_part(x.b, ':', 1)::int * 60 + split_part(x.b, ':', 2)::int) * 60 + split_part(split_part(x.b, ':', 3), '.', 1)::int) * 1000 + split_part(x.b, '.', 2)::int * 10 as end_ms, x.name as name, x.text as text from e)
+"""
+
+
+def _events(s, d):
+    return readers.subtitle_events(table(s, d, "raw_transcripts"), "text", "id_conversation", "chunk_no")
+
+
+query("subtitle_events", _EVENTS + "select * from f")(lambda s, d: _events(s, d).drop("event_no"))
+query(
+    "conversation_build",
+    _EVENTS
+    + rf"""
+, c as (select id_conversation, min(id_speaker_a) a, min(id_speaker_b) b, min(location) location from conversation_meta group by 1), p as (select id_speaker, min(dialect) dialect from speakers group by 1),
+g as (select f.*, c.location, case when upper({_STRIP.format("name")}) = 'A' then a else b end id_speaker from f join c using (id_conversation) where upper({_STRIP.format("name")}) in ('A', 'B')
+  and length({_STRIP.format("text")}) > 0 and not regexp_matches(text, '\*\*\*(.*?)\*\*\*') and not regexp_matches(text, '\[(.*?)\]'))
+select id_conversation, location, id_speaker, dialect, start_ms, end_ms, {_STRIP.format("text")} as text from g join p using (id_speaker)""",
+)(
+    lambda s, d: builds.conversation_segments(
+        _events(s, d),
+        table(s, d, "conversation_meta").groupBy("id_conversation").agg(*[F.min(c).alias(c) for c in ("id_speaker_a", "id_speaker_b", "location", "location_roomdim", "noise_type", "noise_level")]),
+        table(s, d, "speakers").groupBy("id_speaker").agg(*[F.min(c).alias(c) for c in ("age", "gender", "dialect", "country_birth", "education", "occupation")]),
+    ).select("id_conversation", "location", "id_speaker", "dialect", "start_ms", "end_ms", "text")
+)
+query(
+    "parliament_build",
+    rf"""select distinct utterance_id, upper(split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 1)) as speaker_id,
+    upper(split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 2) || '_' || split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 3)) as src_fname,
+    'processed_audio/' || utterance_id || '.wav' as audio_path from utterances""",
+)(lambda s, d: builds.parliament(table(s, d, "utterances")).select("utterance_id", "speaker_id", "src_fname", "audio_path"))
+query("utterance_ids", r"select split, count(distinct upper(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'))) as n_ids, count(*) as n from utterances group by 1")(
+    lambda s, d: table(s, d, "utterances").select("split", F.array_join(id_parts(F.col("utterance_id")), "_").alias("i")).groupBy("split").agg(F.countDistinct("i").alias("n_ids"), F.count("*").alias("n"))
+)
+
+# ---------------------------------------------------------------- error rates and scores
+
+_PLAIN = "regexp_replace(translate(lower({}), 'æøåé', '{{}}~e'), '[^ -~]', '?', 'g')"
+
+
+def _ascii(c):
+    # one ASCII character per character: the SQL engine's edit distance counts bytes
+    return F.regexp_replace(F.translate(F.lower(c), "æøåé", "{}~e"), "[^ -~]", "?")
+
+
+query(
+    "cer_raw",
+    f"""with p as (select source, {_PLAIN.format('coalesce(text, sentence)')} r, {_PLAIN.format('asr_prediction')} h from samples where asr_prediction is not null and coalesce(text, sentence) is not null)
+    select source, count(*) as n, round(sum(levenshtein(r, h)) / sum(length(r)), 9) as cer from p group by 1""",
+)(
+    lambda s, d: table(s, d, "samples").select("source", _ascii(F.coalesce("text", "sentence")).alias("r"), _ascii(F.col("asr_prediction")).alias("h")).filter("r is not null and h is not null")
+    .groupBy("source").agg(F.count("*").alias("n"), F.round(metrics.raw_character_rate(F.col("r"), F.col("h")), 9).alias("cer"))
+)
+
+
+@query("error_rates")
+def _error_rates(s, d):
+    r = table(s, d, "samples").select("source", F.lower(text.strip(F.coalesce("text", "sentence"))).alias("r"), F.lower(text.strip(F.col("asr_prediction"))).alias("h")).filter("r is not null and h is not null")
+    r = r.select("source", metrics.char_counts("r", "h").alias("c"), metrics.word_counts("r", "h").alias("w"))
+    return r.groupBy("source").agg(metrics.error_rate("c").alias("cer"), metrics.error_rate("w").alias("wer"), metrics.error_rate("w", normalise=False).alias("wer_raw"), F.count("*").alias("n"))
+
+
+_CATEGORIES = ["age_group", "gender", "dialect"]
+_CUBE_ROWS = """
+m as (select sub_dialect, dialect d from dialect_map),
+s as (select case when age >= 0 and age < 25 then '0-25' when age >= 25 and age < 50 then '25-50' when age >= 50 then '50+' end age_group, gender,
+  case when coalesce(country_birth, 'DK') <> 'DK' then 'Non-native' else m.d end dialect, source, asr_cer, asr_wer from samples left join m on samples.dialect = m.sub_dialect where asr_cer is not null)
+"""
+_CUBE_CELLS = """
+c as (select age_group a, gender g, dialect d, grouping_id(age_group, gender, dialect) i, count(*) n, sum(asr_cer) cer, sum(asr_wer) wer from s group by cube (age_group, gender, dialect)),
+k as (select * from c where (i & 4 > 0 or a is not null) and (i & 2 > 0 or g is not null) and (i & 1 > 0 or d is not null)),
+j as (select k.*, p0.n n0, p1.n n1, p2.n n2 from k join k p0 on p0.i = 7
+  join k p1 on p1.i = (k.i | 3) and p1.a is not distinct from k.a
+  join k p2 on p2.i = (k.i | 1) and p2.a is not distinct from k.a and p2.g is not distinct from k.g)
+"""
+
+
+def _scored(s, d):
+    r = demographics.main_dialect(table(s, d, "samples").filter("asr_cer is not null"), table(s, d, "dialect_map"))
+    return r.withColumn("age_group", demographics.evaluation_age_group(F.col("age"))).select(*_CATEGORIES, "source", "asr_cer", "asr_wer")
+
+
+query(
+    "score_cube",
+    f"with {_CUBE_ROWS}, {_CUBE_CELLS} select a as age_group, g as gender, d as dialect, n as n_rows, round(cer / n, 9) as cer, round(wer / n, 9) as wer from j where (i & 4 > 0 or n1 < n0) and (i & 2 > 0 or n2 < n1) and (i & 1 > 0 or n < n2)",
+)(
+    lambda s, d: cube.pruned_cube(_scored(s, d), _CATEGORIES, {"c": "asr_cer", "w": "asr_wer"})
+    .select(*_CATEGORIES, "n_rows", F.round(F.col("c") / F.col("n_rows"), 9).alias("cer"), F.round(F.col("w") / F.col("n_rows"), 9).alias("wer"))
+)
+
+
+@query(
+    "comparison_table",
+    f"""with {_CUBE_ROWS}, t as (select source, coalesce(gender, 'none') k, split_part(age_group, '-', 1) ds, avg(asr_cer) v from s where age_group is not null group by all),
+    n as (select count(distinct ds) n from t), o as (select source, k, avg(v) mean, count(distinct ds) c from t group by all)
+    select source as model, max(mean) filter (where k = 'male') as male, max(mean) filter (where k = 'female') as female from o, n where c = n group by 1""",
+)
+def _comparison(s, d):
+    t = _scored(s, d).filter("age_group is not null").groupBy("source", F.coalesce("gender", F.lit("none")).alias("k"), F.substring_index("age_group", "-", 1).alias("ds")).agg(F.avg("asr_cer").alias("v"))
+    o = cube.comparison(t, "source", "ds", "k", "v")
+    w = o.groupBy(F.col("source").alias("model"), "k").agg(F.first("mean").alias("mean"))
+    # every model stays, also one without the two shown groups
+    return w.groupBy("model").pivot("k", ["male", "female"]).agg(F.first("mean"))
+
+
+query("worst_samples", "select id_recording, asr_cer from (select distinct id_recording, asr_cer from samples where asr_cer is not null) order by asr_cer desc, id_recording limit 100")(
+    lambda s, d: table(s, d, "samples").filter("asr_cer is not null").select("id_recording", "asr_cer").distinct().orderBy(F.desc("asr_cer"), "id_recording").limit(100)
+)
+
+# ---------------------------------------------------------------- speakers and splits
+
+
+def _metadata(s, d):
+    """Samples prepared for a split search: main dialect, age group, no non-binary, accepted rows below the error limit."""
+    r = demographics.main_dialect(table(s, d, "samples"), table(s, d, "dialect_map")).filter(filters.none_of(F.col("gender"), "nonbinary") & filters.none_of(F.col("validated"), "rejected", "maybe"))
+    r = r.withColumn("age_group", demographics.age_group(F.col("age"))).dropDuplicates(["id_recording"])
+    return filters.below_error(r)
+
+
+query(
+    "speaker_profile",
+    """select speaker_id, count(*) as n, round(sum(asr_cer), 6) as cer_sum, min(id_recording) as first_row, arg_min_null(location, id_recording) as location from (select distinct speaker_id, id_recording, asr_cer, location, gender from samples) where speaker_id is not null group by 1""",
+)(
+    lambda s, d: table(s, d, "samples").select("speaker_id", "id_recording", "asr_cer", "location", "gender").distinct().withColumns({"dialect": F.col("location"), "age_group": F.lit("x")})
+    .transform(speaker_splits.speaker_profile).select("speaker_id", "n", F.round("cer_sum", 6).alias("cer_sum"), "first_row", F.col("dialect").alias("location"))
+)
+
+
+@query(
+    "feature_spread",
+    """with r as (select gender, dialect, cast(cast(floor(age / 25) as bigint) as varchar) a from samples), t as (select 'gender' f, gender v, count(*) n from r group by 2 union all select 'dialect', dialect, count(*) from r group by 2
+    union all select 'age_group', a, count(*) from r group by 2), p as (select f, n / sum(n) over (partition by f) x from t), q as (select f, var_pop(x) y from p group by 1) select round(sum(y), 9) as spread from q""",
+)
+def _feature_spread(s, d):
+    r = table(s, d, "samples").select("gender", "dialect", F.floor(F.col("age") / 25).cast("string").alias("age_group")).groupBy("gender", "dialect", "age_group").agg(F.count("*").alias("n"))
+    return speaker_splits.share_spread(speaker_splits.feature_shares(r)).select(F.round("spread", 9).alias("spread"))
+
+
+query("split_report", "select split, gender, count(*) as n, round(count(*) / sum(count(*)) over (partition by split), 9) as share from samples group by 1, 2")(
+    lambda s, d: table(s, d, "samples").groupBy("split", "gender").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split")), 9))
+)
+query("split_totals", "select split, count(distinct speaker_id) as n_speakers, count(distinct id_sentence) as n_sentences, round(count(*) * 4.5 / 3600, 9) as hours from samples group by 1")(
+    lambda s, d: table(s, d, "samples").groupBy("split").agg(F.countDistinct("speaker_id").alias("n_speakers"), F.countDistinct("id_sentence").alias("n_sentences"), F.round(F.count("*") * 4.5 / 3600, 9).alias("hours"))
+)
+
+
+@query(
+    "rank_sum",
+    """with p as (select source, count(*) n, avg(asr_cer) c, count(distinct speaker_id) k from samples group by 1)
+    select source, row_number() over (order by c desc nulls last, source) + row_number() over (order by n, source) + row_number() over (order by k, source) as rank from p""",
+)
+def _rank_sum(s, d):
+    p = table(s, d, "samples").groupBy("source").agg(F.count("*").alias("n"), F.avg("asr_cer").alias("c"), F.countDistinct("speaker_id").alias("k"))
+    return speaker_splits.rank_sum(p, [F.desc_nulls_last("c"), F.asc("n"), F.asc("k")], "source").select("source", F.col("rank").cast("long").alias("rank"))
+
+
+@query("split_search")
+def _split_search(s, d):
+    profile = speaker_splits.speaker_profile(_metadata(s, d))
+    n = profile.agg(F.sum("n").alias("n")).first().n or 0
+    wanted = {"gender": {"female": 0.3, "male": 0.3}, "age_group": {"0-24": 0.05, "25-49": 0.1, "50-": 0.1}}
+    c = speaker_splits.split_candidates(s, profile, wanted, int(0.05 * n), int(0.25 * n), seeds=32)
+    return speaker_splits.best_split(c)
+
+
+# ---------------------------------------------------------------- corpora
+
+query(
+    "decontaminate",
+    """with e as (select list(t order by length(t) desc, t) l from (select distinct text t from eval_items where text <> '')),
+    c as (select doc_id, text, list_reduce(list_prepend(text, l), lambda a, b: replace(a, b, '')) k from documents, e where text is not null)
+    select doc_id, k as clean_text, k <> text as changed from c union all select doc_id, null, false from documents where text is null""",
+)(lambda s, d: corpus.decontaminate(table(s, d, "documents"), "text", "doc_id", table(s, d, "eval_items"), "text"))
+query(
+    "sentence_corpus",
+    """with t as (select distinct trim(x) t from (select text x from samples union all select sentence from samples union all select transcript from utterances) where trim(x) <> '')
+    select t as text from t where t not in (select trim(text) from eval_items)""",
+)(
+    lambda s, d: table(s, d, "samples").select(F.trim("text").alias("text")).unionByName(table(s, d, "samples").select(F.trim("sentence").alias("text"))).unionByName(table(s, d, "utterances").select(F.trim("transcript").alias("text")))
+    .filter("text <> ''").distinct().join(table(s, d, "eval_items").select(F.trim("text").alias("text")), "text", "left_anti")
+)
+query(
+    "ngram_counts",
+    r"""with t as (select list_filter(regexp_split_to_array(lower(transcript), '\s+'), lambda x: x <> '') w from utterances where transcript is not null),
+    g as (select unnest(flatten([list_transform(range(1, len(w) - k + 2), lambda i: {'size': k, 'gram': array_to_string(w[i:i + k - 1], ' ')}) for k in [1, 2, 3] if k <= len(w)])) x from t)
+    select x.size as size, x.gram as gram, count(*) as count from g group by 1, 2 having count(*) > case when x.size = 1 then 0 else 1 end""",
+)(lambda s, d: corpus.ngrams(table(s, d, "utterances").select(F.lower("transcript").alias("t0")).filter("t0 is not null"), "t0"))
+
+
+@query("mix_datasets")
+def _mix(s, d):
+    parts = [table(s, d, t).select(F.col(k).cast("string").alias("key"), F.col(c).alias("text")) for t, k, c in (("documents", "doc_id", "text"), ("eval_items", "item_id", "text"), ("utterances", "utterance_id", "transcript"))]
+    return corpus.interleave(parts, "key", [0.5, 0.25, 0.25])
+
+
+query("shuffle_seeded")(lambda s, d: corpus.seeded_shuffle(table(s, d, "documents").select("doc_id", "lang"), "doc_id"))
+
+# ---------------------------------------------------------------- arrays
+
+query("peak_normalise", "select vec_id, round(list_max(list_transform(embedding, lambda x: abs(x::double))), 6) as peak, list_transform(embedding, lambda x: round(x::double / list_max(list_transform(embedding, lambda y: abs(y::double))), 5)) as wave from embeddings")(
+    lambda s, d: table(s, d, "embeddings").withColumn("e", F.col("embedding").cast("array<double>")).select(
+        "vec_id", F.round(F.array_max(F.transform("e", F.abs)), 6).alias("peak"), F.transform(audio.peak_normalise(F.col("e")), lambda x: F.round(x, 5)).alias("wave"))
+)
+query("duration", "select vec_id, len(embedding) / 16.0 as seconds from embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", audio.duration(F.col("embedding"), 16).alias("seconds")))
+query("slice_audio", "select vec_id, embedding[(500 + vec_id % 1000) * 16 // 1000 + 1:(1500 + vec_id % 1000) * 16 // 1000] as wave from embeddings")(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", audio.time_slice(F.col("embedding"), 500 + F.col("vec_id") % 1000, 1500 + F.col("vec_id") % 1000, 16).alias("wave"))
+)
+query("mono", "select vec_id, list_transform(range(1, 33), lambda i: round((embedding[i]::double + embedding[i + 32]::double) / 2, 6)) as wave from embeddings")(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform(audio.mono(F.slice(F.col("embedding").cast("array<double>"), 1, 32), F.slice(F.col("embedding").cast("array<double>"), 33, 32)), lambda x: F.round(x, 6)).alias("wave"))
+)
+query("resample")(lambda s, d: table(s, d, "embeddings").select("vec_id", audio.resampler(8)("embedding", F.lit(16)).alias("wave")))
+query("augment")(lambda s, d: table(s, d, "embeddings").select("vec_id", audio.augmenter(4242)("embedding", F.col("vec_id")).alias("wave")))
+query(
+    "argmax_decode",
+    "select vec_id, list_transform(range(0, 8), lambda i: list_position(embedding[i * 8 + 1:i * 8 + 8], list_max(embedding[i * 8 + 1:i * 8 + 8])) - 1) as tokens from embeddings",
+)(lambda s, d: table(s, d, "embeddings").select("vec_id", audio.argmax(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))).alias("tokens")))
+
+query("vocabulary", "with c as (select distinct unnest(string_split(replace(lower(text), ' ', '|'), '')) k from eval_items) select k as char, cast(row_number() over (order by k) - 1 as int) as id from c where k <> ''")(
+    lambda s, d: collate.vocabulary(table(s, d, "eval_items").select(F.lower("text").alias("t")), "t")
+)
+query("vocabulary_json")(lambda s, d: sinks.vocabulary_json(collate.vocabulary(table(s, d, "eval_items").select(F.lower("text").alias("t")), "t")))
+
+_ALPHABET = list("|abcdefghijklmnopqrstuvwxyzæøå")
+
+
+@query(
+    "collate_labels",
+    f"""with v as (select string_split('{''.join(_ALPHABET)}', '') a), l as (select item_id, item_id % 8 b, list_transform(string_split(replace(lower(text), ' ', '|'), ''), lambda c: coalesce(list_position(a, c) - 1, {len(_ALPHABET)})) k from eval_items, v),
+    c as (select item_id, b, list_slice(k, 1, 512) k from l), m as (select b, max(len(k)) n from c group by 1)
+    select item_id, b as batch, list_concat(k, list_transform(range(0, n - len(k)), lambda x: -100)) as labels from c join m using (b)""",
+)
+def _collate(s, d):
+    r = table(s, d, "eval_items").select("item_id", (F.col("item_id") % 8).alias("batch"), F.lower("text").alias("t"))
+    return collate.collate(collate.label_ids(r, "t", _ALPHABET), "batch").select("item_id", "batch", "labels")
+
+
+@query("arpa_edit")
+def _arpa(s, d):
+    one = corpus.ngrams(table(s, d, "eval_items"), "text", 1)
+    rows = one.select(F.concat(F.lit("-1.0\t"), "gram", F.lit("\t0")).alias("line")).union(s.createDataFrame([("ngram 1=10",), ("-1.0\t<s>\t0",)], "line string"))
+    return corpus.edit_arpa(rows.withColumn("line_no", F.xxhash64("line")))
+
+
+query("source_files", r"select distinct upper(split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 2) || '_' || split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 3)) as src_fname from utterances")(
+    lambda s, d: table(s, d, "utterances").select(recording_file(F.col("utterance_id")).alias("src_fname")).distinct()
+)
