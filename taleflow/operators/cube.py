@@ -16,8 +16,8 @@ def pruned_cube(df: DataFrame, categories: list[str], sums: dict[str, str]) -> D
     the categories, n_rows and the sums.
     """
     k = len(categories)
-    cells = df.cube(*categories).agg(F.count("*").alias("n_rows"), *[F.sum(v).alias(o) for o, v in sums.items()], F.grouping_id().alias("gid"))
-    fixed = [F.col("gid").bitwiseAND(1 << (k - 1 - i)) == 0 for i in range(k)]
+    cells = df.cube(*categories).agg(F.count("*").alias("n_rows"), *[F.sum(v).alias(o) for o, v in sums.items()], F.grouping_id().alias("__gid"))
+    fixed = [F.col("__gid").bitwiseAND(1 << (k - 1 - i)) == 0 for i in range(k)]
     own = F.lit(True)
     for c, f in zip(categories, fixed):
         own = own & (~f | F.col(c).isNotNull())
@@ -27,16 +27,16 @@ def pruned_cube(df: DataFrame, categories: list[str], sums: dict[str, str]) -> D
     for i in range(k):
         keys = categories[:i]
         free = (1 << (k - i)) - 1
-        pre = cells.select(*[F.col(c).alias(f"p_{c}") for c in keys], F.col("n_rows").alias(f"n_{i}"), F.col("gid").alias("g"))
+        pre = cells.select(*[F.col(c).alias(f"__p_{c}") for c in keys], F.col("n_rows").alias(f"__n_{i}"), F.col("__gid").alias("__g"))
         # a prefix cell has all of the categories from i on, and of the first i those the cell has fixed
-        on = F.expr(f"g = gid | {free}")
+        on = F.expr(f"__g = (__gid | {free})")
         for c in keys:
-            on = on & F.col(c).eqNullSafe(F.col(f"p_{c}"))
-        out = out.join(pre, on, "left").drop("g", *[f"p_{c}" for c in keys])
+            on = on & F.col(c).eqNullSafe(F.col(f"__p_{c}"))
+        out = out.join(pre, on, "left").drop("__g", *[f"__p_{c}" for c in keys])
     keep = F.lit(True)
     for i in range(k):
-        after = F.col(f"n_{i + 1}") if i + 1 < k else F.col("n_rows")
-        keep = keep & (~fixed[i] | (after < F.col(f"n_{i}")))
+        after = F.col(f"__n_{i + 1}") if i + 1 < k else F.col("n_rows")
+        keep = keep & (~fixed[i] | (after < F.col(f"__n_{i}")))
     return out.filter(keep).select(*categories, "n_rows", *sums)
 
 
