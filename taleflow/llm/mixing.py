@@ -13,7 +13,7 @@ from __future__ import annotations
 from math import ceil, floor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -61,9 +61,11 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     a source without documents has size 0.
     """
     per = sizes.groupBy("source").agg(F.sum("n_tokens").alias("size"))
-    total = per.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    # the sizes of targets (0) and of all sources in one table of a few rows, so that tokens are counted once
     t = targets.select(C.source(F.col("source")).alias("source"), "target_weight", "max_repeats").filter("source is not null")
-    out = t.join(per, "source", "left").crossJoin(total).withColumn("size", F.coalesce("size", F.lit(0)))
+    both = per.select("source", "size", F.lit(None).cast("double").alias("target_weight"), F.lit(None).cast("int").alias("max_repeats")).unionByName(t.withColumn("size", F.lit(0).cast("long")).withColumn("max_repeats", F.col("max_repeats").cast("int")))
+    every, own = Window.partitionBy(), Window.partitionBy("source")
+    out = both.withColumns({"total": F.sum("size").over(every), "size": F.sum("size").over(own)}).filter("target_weight is not null")
     return out.withColumns({"want": F.col("target_weight") * F.col("total"), "most": F.col("max_repeats") * F.col("size")})
 
 
@@ -114,11 +116,14 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     without tokens carry nothing and are left out; ties of the order are
     broken by doc_id. Empty tables give an empty mix.
     """
-    sizes = materialise(sized(documents, tokenizer), "sizes")
+    return _mix_sized(materialise(sized(documents, tokenizer), "sizes"), targets, block_tokens, period, seed, buckets)
+
+
+def _mix_sized(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, period: int = PERIOD, seed: int = 42, buckets: int = 64) -> DataFrame:
     plan = budgets(sizes, targets).filter("size > 0 and target_weight > 0 and max_repeats > 0").collect()  # as small as the targets
     slots = shares({r.source: r.target_weight for r in plan}, period)
     table = pfair(slots)
-    spark = documents.sparkSession
+    spark = sizes.sparkSession
     rows = [(r.source, r.size, min(r.want, float(r.most)), int(ceil(min(r.want, float(r.most)) / r.size)), slots[r.source], table[r.source]) for r in plan]
     small = spark.createDataFrame(rows, "source string, size long, quota double, repeats int, per_period int, slots array<int>")
     docs = sizes.filter("n_tokens > 0 and source is not null").join(F.broadcast(small.select("source", "repeats")), "source")
@@ -135,9 +140,10 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
 
 def mix_report(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Per source: tokens it has, should give and gives, its target and actual share, repeats, and whether it falls short."""
-    mixed = mix(documents, targets, tokenizer)
+    counted = materialise(sized(documents, tokenizer), "sizes")
+    mixed = _mix_sized(counted, targets)
     per = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count("*").alias("n_rows"), (F.max("repeat") + 1).alias("n_repeats"))
-    sizes = budgets(sized(documents, tokenizer), targets)
+    sizes = budgets(counted, targets)
     out = sizes.join(per, "source", "left").fillna(0, ["mixed_tokens", "n_rows", "n_repeats"])
     all_ = out.agg(F.sum("mixed_tokens").alias("of_all"))
     return out.crossJoin(all_).select(
