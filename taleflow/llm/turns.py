@@ -23,7 +23,7 @@ ROUND = rf"^({_LABEL})\s*\(({_CLOCK})\)(.*)$"
 #: ``Dialogue: 0,0:00:02.44,0:00:04.93,Default,A,0,0,0,,words``
 EVENT = r"^\s*Dialogue:[^,]*,([^,]*),([^,]*),[^,]*,([^,]*),[^,]*,[^,]*,[^,]*,[^,]*,(.*)$"
 #: ``(3,4–9,6 s) A – words``
-SECONDS = r"^\s*\(\s*(\d+(?:[.,]\d+)?)\s*[-–—]\s*(\d+(?:[.,]\d+)?)\s*s(?:ek\.?|\.)?\s*\)\s*(.{1,24}?)\s+[-–—:]\s?(.*)$"
+SECONDS = r"^\s*\(\s*(\d+(?:[.,]\d+)?)\s*[-–—]\s*(\d+(?:[.,]\d+)?)\s+s(?:ek\.?|\.)?\s*\)\s*(.{1,24}?)\s+[-–—:]\s?(.*)$"
 #: start, end in milliseconds, label and words between tabs
 TABBED = r"^\s*(\d+)\t(\d+)\t([^\t]*)\t(.*)$"
 #: ``00:00:02,493 --> 00:00:06,012``; label and words are on the next line
@@ -36,30 +36,29 @@ SPEAKER_LABEL = r"^(?:\p{L}+[\s_.-]+([ab])|\p{L}*[\s_.-]*0*([12])|([ab]))[.:]?$"
 
 #: Sound annotations between paired signs, inner time marks, markup.
 NOISE = r"\{[^{}]*\}|\[[^\[\]]*\]|\(+[^()]*\)+|<[^<>]*>|\*+(?=[^\s*])[^*\n]*(?<=[^\s*])\*+|#(?=\S)[^#\n]*(?<=\S)#|♪[^♪\n]*♪|(?<!\S)\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?!\S)|\\[NnhH]"
-#: A token of nothing but hesitation, once punctuation is gone.
-HESITATION = r"^(?:[øæe]+h+m*|[uå]h+m+|[øæ]{2,}m*|h+m+|m+h+m*|m{2,}|a+h+m+|ö+h+m*)$"
+#: Tokens of nothing but hesitation or punctuation.
+HESITATION = r"(?:[øæe]+h+m*|[uå]h+m+|[øæ]{2,}m*|h+m+|m+h+m*|m{2,}|a+h+m+|ö+h+m*)"
+NO_WORD = rf"(?iu)(?<!\S)[^\p{{L}}\p{{N}}\s]*+(?:{HESITATION}[^\p{{L}}\p{{N}}\s]*+)?(?!\S)"
 
 
 def _ms(clock: Column) -> Column:
     """Milliseconds of ``h:mm:ss.fff``, ``mm:ss`` or seconds; comma or point before fractions."""
-    parts = F.reverse(F.split(F.replace(F.trim(clock), F.lit(","), F.lit(".")), ":"))
-    total = F.coalesce(F.get(parts, 0).try_cast("decimal(18,6)"), F.lit(0)) + F.coalesce(F.get(parts, 1).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.get(parts, 2).try_cast("int"), F.lit(0)) * 3600
+    parts = F.transform(F.split(F.replace(F.trim(clock), F.lit(","), F.lit(".")), ":"), lambda x: x.try_cast("decimal(18,6)"))
+    total = F.aggregate(parts, F.lit(0).cast("decimal(30,6)"), lambda a, x: (a * 60 + F.coalesce(x, F.lit(0))).cast("decimal(30,6)"))
     return F.when(clock != "", F.round(total * 1000).cast("long"))
 
 
 def speaker_of(label: Column) -> Column:
     """'A', 'B', or null for any other or several voices."""
     bare = F.lower(F.trim(F.regexp_replace(label, C.BLANKS, " ")))
-    hit = F.concat(F.regexp_extract(bare, SPEAKER_LABEL, 1), F.regexp_extract(bare, SPEAKER_LABEL, 2), F.regexp_extract(bare, SPEAKER_LABEL, 3))
+    hit = F.regexp_replace(bare, SPEAKER_LABEL, "$1$2$3")
     return F.when(hit.isin("a", "1"), "A").when(hit.isin("b", "2"), "B")
 
 
 def spoken_words(text: Column) -> Column:
     """Array of the blank-separated tokens that hold a letter or digit and are not mere hesitation."""
-    bare = F.regexp_replace(text, NOISE, " ")
-    tokens = F.split(F.trim(F.regexp_replace(bare, C.BLANKS, " ")), " ")
-    core = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", "")
-    return F.filter(tokens, lambda t: (core(t) != "") & ~core(t).rlike(HESITATION))
+    bare = F.regexp_replace(F.regexp_replace(text, NOISE, " "), C.BLANKS, " ")
+    return F.filter(F.split(F.regexp_replace(bare, NO_WORD, ""), " "), lambda t: t != "")
 
 
 def transcript_lines(transcripts: DataFrame) -> DataFrame:
@@ -76,8 +75,9 @@ def transcript_lines(transcripts: DataFrame) -> DataFrame:
     w = Window.partitionBy("id_conversation", "chunk_no", "doc").orderBy("line_no")
     g = lambda p, i: F.regexp_extract("line", p, i)
     kind = F.lit(None).cast("string")
-    for name, pattern in (("round", ROUND), ("tabbed", TABBED), ("seconds", SECONDS), ("event", EVENT), ("bracket", BRACKET), ("cue", CUE)):
-        kind = F.when(F.col("line").rlike(pattern), name).otherwise(kind)
+    # a sign that every line of the format has is looked for before the pattern
+    for name, sign, pattern in (("round", "(", ROUND), ("tabbed", "\t", TABBED), ("seconds", " s", SECONDS), ("event", "Dialogue:", EVENT), ("bracket", "]", BRACKET), ("cue", "->", CUE)):
+        kind = F.when(F.contains("line", F.lit(sign)) & F.col("line").rlike(pattern), name).otherwise(kind)
     lines = lines.withColumn("kind", kind)
     lines = lines.withColumns({"last_kind": F.lag("kind").over(w), "last_line": F.lag("line").over(w), "next_kind": F.lead("kind").over(w)})
     # a cue's number is no text; the line below a cue carries label and words under the cue's time
@@ -93,12 +93,14 @@ def transcript_lines(transcripts: DataFrame) -> DataFrame:
         .when(is_("cue_text"), F.when(F.col("line").rlike(CUE_TEXT), g(CUE_TEXT, 3)).otherwise(F.col("line")))
         .otherwise(F.col("line"))
     )
-    fields = lines.select(
+    # the fields as text first, so that each pattern runs once per line
+    raw_fields = lines.select("id_conversation", "chunk_no", "doc", "line_no", "kind", "line", start.alias("start"), end.alias("end"), label.alias("label"), said.alias("text"))
+    fields = raw_fields.select(
         "id_conversation", "chunk_no", "doc", "line_no", F.col("kind").isNotNull().alias("timed"),
-        F.when(is_("tabbed"), g(TABBED, 1).try_cast("long")).otherwise(_ms(start)).alias("start_ms"),
-        F.when(is_("tabbed"), g(TABBED, 2).try_cast("long")).otherwise(_ms(end)).alias("end_ms"),
-        F.when(F.col("kind").isNotNull(), F.coalesce(speaker_of(label), F.lit("?"))).alias("speaker"),
-        said.alias("text"),
+        F.when(is_("tabbed"), g(TABBED, 1).try_cast("long")).otherwise(_ms(F.col("start"))).alias("start_ms"),
+        F.when(is_("tabbed"), g(TABBED, 2).try_cast("long")).otherwise(_ms(F.col("end"))).alias("end_ms"),
+        F.when(F.col("kind").isNotNull(), F.coalesce(speaker_of(F.col("label")), F.lit("?"))).alias("speaker"),
+        "text",
     )
     # forward fill: an untimed line belongs to the timed line before it
     filled = fields.withColumns({c: F.last(F.when(F.col("timed"), F.col(v)), ignorenulls=True).over(w) for c, v in (("of_line", "line_no"), ("start_ms", "start_ms"), ("speaker", "speaker"))})
