@@ -87,7 +87,7 @@ def assign_splits(samples: DataFrame, dialect_map: DataFrame, splits: tuple[tupl
     """
     dialects = dialect_map.select(C.squeezed(F.col("sub_dialect")).alias("sub"), F.col("dialect").alias("to")).dropDuplicates(["sub"])
     rows = samples.select("id_recording", C.speaker(F.col("speaker_id")).alias("speaker_id"), C.squeezed(F.col("dialect")).alias("sub"))
-    rows = rows.join(F.broadcast(dialects), "sub", "left").select("id_recording", "speaker_id", F.coalesce("to", F.lit("unknown")).alias("dialect"))
+    rows = rows.join(dialects, "sub", "left").select("id_recording", "speaker_id", F.coalesce("to", F.lit("unknown")).alias("dialect"))
     rows = rows.withColumn("unit", F.coalesce("speaker_id", F.concat(F.lit("row:"), F.coalesce("id_recording", F.lit("")))))
     # rows -> (unit, dialect) counts, combined before the shuffle
     counts = checkpoint(rows.groupBy("unit", "dialect").agg(F.count("*").alias("n")))
