@@ -14,12 +14,22 @@ COUNTS = StructType().add("hits", LongType()).add("substitutions", LongType()).a
 def align(ref: list, hyp: list) -> tuple[int, int, int, int]:
     """(hits, substitutions, deletions, insertions) of an optimal alignment.
 
-    Of several optimal alignments the back-trace prefers a match or
-    substitution over a deletion over an insertion.
+    Equal beginnings and ends are matched first. Of several optimal alignments
+    of the rest the back-trace prefers a match or substitution over a deletion
+    over an insertion.
     """
-    n, m = len(ref), len(hyp)
     if ref == hyp:
-        return n, 0, 0, 0
+        return len(ref), 0, 0, 0
+    shorter, same = min(len(ref), len(hyp)), 0
+    while same < shorter and ref[same] == hyp[same]:
+        same += 1
+    tail = 0
+    while tail < shorter - same and ref[-1 - tail] == hyp[-1 - tail]:
+        tail += 1
+    ref, hyp = ref[same : len(ref) - tail], hyp[same : len(hyp) - tail]
+    n, m = len(ref), len(hyp)
+    if not n or not m:
+        return same + tail, 0, n, m
     codes: dict = {}
     a = np.array([codes.setdefault(x, len(codes)) for x in ref], dtype=np.int64)
     b = np.array([codes.setdefault(x, len(codes)) for x in hyp], dtype=np.int64)
@@ -32,12 +42,13 @@ def align(ref: list, hyp: list) -> tuple[int, int, int, int]:
         row[1:] = np.minimum(d[i - 1, 1:] + 1, d[i - 1, :-1] + (b != a[i - 1]))
         # insertions along the row: a running minimum of value minus column
         d[i] = np.minimum.accumulate(row - steps) + steps
-    i, j, h, s, de, ins = n, m, 0, 0, 0, 0
+    d, a, b = d.tolist(), a.tolist(), b.tolist()
+    i, j, h, s, de, ins = n, m, same + tail, 0, 0, 0
     while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+        if i and j and d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
             h, s = (h + 1, s) if a[i - 1] == b[j - 1] else (h, s + 1)
             i, j = i - 1, j - 1
-        elif i and d[i, j] == d[i - 1, j] + 1:
+        elif i and d[i][j] == d[i - 1][j] + 1:
             de, i = de + 1, i - 1
         else:
             ins, j = ins + 1, j - 1
