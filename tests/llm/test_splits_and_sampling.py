@@ -68,9 +68,9 @@ def test_assigned_splits(spark):
 
 
 def test_canonical_fields(spark):
-    df = spark.createDataFrame([("Kvinde", 0, "Training ", "CORAL-read_aloud "), ("non-binary", 110, "dev_x", "forum_da"), ("ukendt", 111, "x", None), (None, None, None, "")], "g string, a int, s string, o string")
+    df = spark.createDataFrame([("Kvinde", 0, "Training ", "NST-stor_lyd "), ("non-binary", 110, "dev_x", "forum_da"), ("ukendt", 111, "x", None), (None, None, None, "")], "g string, a int, s string, o string")
     got = df.select(C.gender(F.col("g")), C.age_group(F.col("a")), C.split_role(F.col("s")), C.source(F.col("o"))).collect()
-    assert [tuple(r) for r in got] == [("female", None, "train", "coral_read_aloud"), ("nonbinary", "50-", "eval", "forum"), (None, None, None, None), (None, None, None, "")]
+    assert [tuple(r) for r in got] == [("female", None, "train", "nst_stor_lyd"), ("nonbinary", "50-", "eval", "forum"), (None, None, None, None), (None, None, None, "")]
 
 
 TARGETS = "plan_id int, category string, cat_value string, target_share double, min_count int, draw_share double"
