@@ -1,7 +1,8 @@
 """Template residue, filler, error pages and script notices.
 
-Normalised lines are counted by host (the source) over all documents; lines
-that recur are boilerplate and are subtracted from what a document says. What
+Normalised lines are counted by host (the source) over all distinct texts, so
+copies of one text make none of its lines recur; lines that recur in a given
+share of them are boilerplate and are subtracted from what a document says. What
 remains is weighed: a document is excluded when it has an unfilled template
 slot, or when at least half of its residual letters belong to filler, an error
 message or a notice that scripts or cookies are needed. Lines that are
@@ -11,7 +12,6 @@ evidence themselves recur on error pages as well and are never subtracted.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from . import columns as C
 from .normalise import repair, spelt
 
-#: Documents of a host in which a line must occur to count as its boilerplate.
+#: Share of the distinct texts of a host in which a line must occur to count as its boilerplate. So the lines
+#: subtracted are at most 100 times the lines of a text, however large the host is.
+RECURRENT_SHARE = 0.01
+#: Distinct texts that must hold the line in any case: in a small host a share alone is chance.
 RECURRENT = 8
 MAIN_SHARE = 0.5
 TITLE_WORDS = 5
@@ -233,15 +236,21 @@ def weigh(text: str) -> tuple[bool, int, list[tuple[int, int]]]:
     return slot, evidence, lines
 
 
-def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every line of every distinct text of the batch, and one marked whole for the text itself."""
     for batch in batches:
-        n: Counter = Counter()
+        raw, seen, rows = set(), set(), []
         for host, text in zip(batch.column("host").to_pylist(), batch.column("text").to_pylist()):
-            for k in {line_key(x) for x in _LINE_END.split(fold(text))}:
-                if k is not None:
-                    n[host, k] += 1
-        keys = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], names=["host", "line", "n"])
+            if (host, text) in raw:
+                continue
+            raw.add((host, text))
+            keys = [k for k in map(line_key, _LINE_END.split(fold(text))) if k is not None]
+            own = xxhash.xxh64_intdigest(repr(keys)) - (1 << 63)
+            if keys and (host, own) not in seen:
+                seen.add((host, own))
+                rows += [(host, own, own, True), *((host, own, k, False) for k in set(keys))]
+        cols = zip(*rows) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=["host", "own", "line", "whole"])
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +266,19 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "host", "slot", "evidence", "lines"])
 
 
+def recurrent_lines(docs: DataFrame, recurrent: int = RECURRENT, share: float = RECURRENT_SHARE) -> DataFrame:
+    """host, line of the lines in at least ``recurrent`` and at least ``share`` of the distinct texts of their host."""
+    # no column is null and the mark is an aggregate, so no filter is pushed down and both sides read one shuffle
+    rows = docs.select("host", "text").mapInArrow(_lines_of_texts, "host string not null, own long not null, line long not null, whole boolean not null").distinct()
+    counts = rows.groupBy("host", "line").agg(F.count("*").alias("n"), F.max("whole").alias("whole"))
+    texts = counts.filter("whole").select("host", F.col("n").alias("texts"))
+    return counts.filter(~F.col("whole") & (F.col("n") >= recurrent)).join(texts, "host").filter(F.col("n") >= share * F.col("texts")).select("host", "line")
+
+
 def weighed(documents: DataFrame, recurrent: int = RECURRENT) -> DataFrame:
     """doc_id, host, slot, evidence and content (residual letters) of every document with any evidence."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(C.source(F.col("source")), F.lit("")).alias("host"), "text").filter("doc_id is not null and text is not null")
-    # counts are combined per batch before the shuffle; only lines that recur go on
-    counts = docs.select("host", "text").mapInArrow(_count_lines, "host string, line long, n long").groupBy("host", "line").agg(F.sum("n").alias("n")).filter(F.col("n") >= recurrent).select("host", "line")
+    counts = recurrent_lines(docs, recurrent)
     found = docs.mapInArrow(_weigh, "doc_id long, host string, slot boolean, evidence long, lines array<struct<line: long, letters: long>>")
     lines = found.select("doc_id", "host", "slot", "evidence", F.explode_outer("lines").alias("x")).select("doc_id", "host", "slot", "evidence", "x.line", "x.letters")
     lines = lines.join(counts.withColumn("again", F.lit(True)), ["host", "line"], "left")

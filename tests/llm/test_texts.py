@@ -198,6 +198,23 @@ def test_boilerplate_is_subtracted(spark):
     assert residue.residual_documents(d, recurrent=100).collect() == []
 
 
+def test_copies_make_no_line_recur(spark):
+    full = "Præsten gik en lang tur i skoven med sin hund.\n" * 2 + "De så på fuglene ved søen hele dagen.\nPlease enable JavaScript to continue."
+    copies = [(i, full if i % 3 else full.upper(), "avis") for i in range(30)]
+    others = [(100 + i, f"Nyt nummer {'abcdefghijkl'[i]} om byens liv", "avis") for i in range(12)]
+    d = spark.createDataFrame(copies + others, "doc_id long, text string, source string")
+    assert residue.residual_documents(d).collect() == []
+
+
+def test_recurrence_is_a_share_of_the_texts(spark):
+    def host(n):
+        return spark.createDataFrame([(i, f"nummer {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}" + ("\nhvem der?" if i < 9 else ""), "avis") for i in range(n)], "doc_id long, text string, host string").select("host", "text")
+
+    assert residue.recurrent_lines(host(500)).count() == 1
+    assert residue.recurrent_lines(host(1000)).count() == 0
+    assert residue.recurrent_lines(host(500), recurrent=10).count() == 0
+
+
 def test_long_text(spark):
     d = spark.createDataFrame([(1, "ord " * 300_000 + "{navn}", "s")], "doc_id long, text string, source string")
     it = spark.createDataFrame([(1, "ord " * 12, "s", "t")], "item_id long, text string, source string, split string")
