@@ -1,9 +1,10 @@
 """Evaluation texts that leak into a corpus, whole or in part.
 
 Pigeonhole edit matching: every passage of ``min_words`` successive words of an
-item is split into ``errors + 1`` pieces of whole words, so a document that
-holds the passage with at most ``errors`` edits holds one of its pieces
-exactly. Exact piece hits come from one automaton over all pieces; every
+item is cut into ``errors + 1`` pieces that share no letter and no blank, so a
+document that holds the passage with at most ``errors`` edits holds one of its
+pieces exactly. Pieces begin at words; the blank at a cut belongs to the piece
+after it, so a piece may end within a longer word of the document. Exact piece hits come from one automaton over all pieces; every
 passage that a hit belongs to is verified with Myers' bit-parallel edit
 distance.
 """
@@ -20,7 +21,7 @@ from .normalise import words
 
 try:
     import ahocorasick
-except ImportError:  # pieces are then looked up word run by word run
+except ImportError:  # pieces are then looked up at every word, length by length
     ahocorasick = None
 
 #: Items of one pass over the corpus. Larger item sets take further passes, each with its own automaton.
@@ -29,11 +30,18 @@ MAX_ITEMS = 20_000
 _BUILT: dict = {}
 
 
-def piece_cuts(min_words: int, errors: int) -> list[tuple[int, int]]:
-    """(first word, words) of the ``errors + 1`` pieces of a passage."""
-    k = min(errors + 1, min_words)
-    cuts = [i * min_words // k for i in range(k + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def piece_cuts(passage: list[str], errors: int) -> list[int]:
+    """Where the ``errors + 1`` pieces of " w1 ... wn " begin, and its length; within words only if the words are too few."""
+    starts = [0]
+    for w in passage:
+        starts.append(starts[-1] + len(w) + 1)
+    k, n = errors + 1, len(passage)
+    if k <= n:
+        return [starts[i * n // k] for i in range(k)] + [starts[-1] + 1]
+    size = starts[-1] + 1
+    if k > size:
+        raise ValueError(f"{errors} errors in a passage of {size} letters")
+    return [i * size // k for i in range(k + 1)]
 
 
 def myers(pattern: str, text: str, most: int) -> int:
@@ -69,15 +77,17 @@ class Pieces:
 
     def __init__(self, items: list[tuple[int, list[str]]], min_words: int, errors: int) -> None:
         self.items = dict(items)
-        cuts = piece_cuts(min_words, errors)
-        self.lengths = sorted({n for _, n in cuts})
+        #: Whether every piece begins with the blank before a word.
+        self.at_words = errors < min_words
         #: piece -> (item, first word of the passage, letters of the passage before the piece)
         self.places: dict[str, list[tuple[int, int, int]]] = {}
         for item, ws in self.items.items():
             for first in range(len(ws) - min_words + 1):
-                for a, n in cuts:
-                    lead = sum(len(w) + 1 for w in ws[first : first + a])
-                    self.places.setdefault(" " + " ".join(ws[first + a : first + a + n]) + " ", []).append((item, first, lead))
+                passage = ws[first : first + min_words]
+                cuts, letters = piece_cuts(passage, errors), " " + " ".join(passage) + " "
+                for lead, end in zip(cuts, cuts[1:]):
+                    self.places.setdefault(letters[lead:end], []).append((item, first, lead))
+        self.lengths = sorted({len(p) for p in self.places})
         self.automaton = None
         if ahocorasick and self.places:
             self.automaton = ahocorasick.Automaton()
@@ -89,14 +99,8 @@ class Pieces:
         """(offset, piece) of every exact hit in ``text``, which has blanks around every word."""
         if self.automaton:
             return [(end - len(p) + 1, p) for end, p in self.automaton.iter(text)]
-        out, ws, at = [], text.split() if self.places else [], 0
-        for i, w in enumerate(ws):
-            for n in self.lengths:
-                p = " " + " ".join(ws[i : i + n]) + " "
-                if p in self.places:
-                    out.append((at, p))
-            at += len(w) + 1
-        return out
+        starts = (i for i, c in enumerate(text) if c == " " or not self.at_words)
+        return [(at, text[at : at + n]) for at in starts for n in self.lengths if text[at : at + n] in self.places and at + n <= len(text)]
 
 
 def leaks_of(ws: list[str], pieces: Pieces, min_words: int, errors: int) -> dict[int, int]:

@@ -136,6 +136,40 @@ def test_leaks_against_brute_force(spark):
     assert sorted(with_automaton) == sorted(pieces.hits(" " + items[0][1] + " "))
 
 
+def test_every_passage_within_the_errors_is_found():
+    rng = random.Random(4)
+    ws = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 6))) for _ in range(12)]
+
+    def least(p, t):
+        row = [0] * (len(t) + 1)
+        for i, x in enumerate(p, 1):
+            new = [i]
+            for j, y in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    passage = [f"w{i}" for i in range(1, 11)]
+    joined = leakage.Pieces([(1, passage)], 10, 2)
+    assert leakage.leaks_of("w1 w2 w3w4 w5 w6w7 w8 w9 w10".split(), joined, 10, 2) == {1: 2}
+    assert leakage.leaks_of("w1 w2 w3xw4 w5 w6 w7 w8 w9 v10".split(), joined, 10, 2) == {1: 2}
+    for errors in (0, 1, 2, 3, 11):
+        pieces = leakage.Pieces([(1, ws)], 10, errors)
+        passages = [" " + " ".join(ws[i : i + 10]) + " " for i in range(3)]
+        blanks = [i for i, c in enumerate(passages[1]) if c == " "]
+        for trial in range(60):
+            t = list(passages[1])
+            for at in rng.sample(blanks if trial % 2 else range(len(t)), min(rng.randrange(errors + 2), 5)):
+                t[at] = rng.choice(["", "x", t[at] + "y"])
+            found = "".join(t).split()
+            text = " " + " ".join(found) + " "
+            want = min(least(p, text) for p in passages)
+            assert leakage.leaks_of(found, pieces, 10, errors) == ({1: want} if want <= errors else {})
+            automaton, pieces.automaton = pieces.automaton, None
+            assert leakage.leaks_of(found, pieces, 10, errors) == ({1: want} if want <= errors else {})
+            pieces.automaton = automaton
+
+
 def test_pfair_deviation():
     slots = mixing.shares({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.0501})
     table, total = mixing.pfair(slots), sum(slots.values())
