@@ -440,11 +440,14 @@ def _rank_sum(s, d):
 
 @query("split_search")
 def _split_search(s, d):
-    profile = speaker_splits.speaker_profile(_metadata(s, d))
+    # the spellings of a speaker are one speaker, else it could land in both splits
+    bare = F.regexp_replace(F.regexp_replace(F.lower("speaker_id"), "[^0-9a-z]+", ""), "^spe", "")
+    rows = _metadata(s, d).withColumn("speaker_id", F.when(bare != "", F.concat(F.lit("spe_"), bare)))
+    profile = speaker_splits.speaker_profile(rows)
     n = profile.agg(F.sum("n").alias("n")).first().n or 0
     wanted = {"gender": {"female": 0.3, "male": 0.3}, "age_group": {"0-24": 0.05, "25-49": 0.1, "50-": 0.1}}
-    c = speaker_splits.split_candidates(s, profile, wanted, int(0.05 * n), int(0.25 * n), seeds=32)
-    return speaker_splits.best_split(c)
+    limits = (wanted, int(0.05 * n), int(0.25 * n))
+    return speaker_splits.search_splits(s, profile, limits, limits, seeds=32)
 
 
 # ---------------------------------------------------------------- corpora

@@ -110,6 +110,18 @@ def test_split_search(spark):
         speaker_splits.split_by_speaker(df, "speaker_id", t, t)
 
 
+def test_split_search_of_many_speakers_with_validation(spark):
+    many = spark.range(200_001).selectExpr("concat('s', id) as speaker_id", "5L as n", "id % 7 * 0.1D as cer_sum", "if(id % 2 = 0, 'male', 'female') as gender", "'x' as dialect", "'0-24' as age_group", "cast(id as string) as first_row")
+    wanted = {"gender": {"female": 0.4}}
+    c = speaker_splits.split_candidates(spark, many, wanted, 50, 100, seeds=2).collect()
+    assert len(c) == 2 and all(r.ok for r in c)
+    few = many.filter("n > 0").limit(40)
+    best = {r.split: r for r in speaker_splits.search_splits(spark, few, (wanted, 50, 100), (wanted, 30, 90), seeds=8).collect()}
+    assert set(best) == {"test", "val"} and not set(best["test"].speakers) & set(best["val"].speakers)
+    assert 50 <= best["test"].n < 100 and 30 <= best["val"].n < 90
+    assert speaker_splits.search_splits(spark, few, (wanted, 50, 100), (wanted, 190, 250), seeds=4).collect() == []
+
+
 def test_arrays(spark):
     df = spark.createDataFrame([([0.5, -2.0, 1.0],), ([0.0, 0.0],)], "a array<double>")
     assert [r[0] for r in df.select(audio.peak_normalise(F.col("a"))).collect()] == [[0.25, -1.0, 0.5], [0.0, 0.0]]
