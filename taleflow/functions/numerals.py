@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 # Danish number words.
 UNITS = (
-    "nul en to tre fire fem seks syv otte ni ti elleve tolv tretten fjorten femten seksten sytten atten nitten".split()
-)
+    "nul", "en", "to", "tre", "fire", "fem", "seks", "syv", "otte", "ni", "ti", "elleve", "tolv", "tretten", "fjorten", "femten", "seksten", "sytten", "atten", "nitten",
+)
 TENS = {20: "tyve", 30: "tredive", 40: "fyrre", 50: "halvtreds", 60: "tres", 70: "halvfjerds", 80: "firs", 90: "halvfems"}
 
 # Fixed value: what counts as a numeral.
-NUMERAL = r"(?U)\b(0|[1-9]\d{0,2}(?:(?:\.\d{3})*|\d*)(?:,\d+)?)\b"
+NUMBER = r"(0|[1-9]\d{0,2}(?:(?:\.\d{3})*|\d*)(?:,\d+)?)"
+NUMERAL = rf"(?U)\b{NUMBER}\b"
 
 
 def below_thousand(n: int) -> str:
@@ -45,7 +46,7 @@ def spoken(numeral: Column, table: Column) -> Column:
     words = F.when(F.length(whole) > 9, whole).otherwise(words)
     digits = F.transform(F.split(F.substring_index(numeral, ",", -1), ""), lambda d: F.when(d == "1", "et").otherwise(F.get(table, d.try_cast("int"))))
     full = F.when(F.instr(numeral, ",") > 0, F.concat(words, F.lit(" komma "), F.array_join(digits, " "))).otherwise(words)
-    ok = numeral.rlike(r"^(0|[1-9]\d{0,2}(?:(?:\.\d{3})*|\d*)(?:,\d+)?)$")
+    ok = numeral.rlike(f"^{NUMBER}$")
     return F.when(ok, full).otherwise(numeral)
 
 

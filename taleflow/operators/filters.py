@@ -41,9 +41,16 @@ def below_error(df: DataFrame, rate: str = "asr_cer", most: float = 0.6) -> Data
     return df.filter(F.col(rate) < most)
 
 
+# Marks of a segment that cannot be used.
+UNUSABLE = (r"\*\*\*(.*?)\*\*\*", r"\[(.*?)\]")
+
+
 def usable_segment(text: Column) -> Column:
     """Not blank and without ``***...***`` or ``[...]`` marks."""
-    return has_text(text) & ~text.rlike(r"\*\*\*(.*?)\*\*\*") & ~text.rlike(r"\[(.*?)\]")
+    out = has_text(text)
+    for mark in UNUSABLE:
+        out = out & ~text.rlike(mark)
+    return out
 
 
 def large_enough(df: DataFrame, size: str, stem: str, bad_prefixes: tuple[str, ...] = (), least: int = 8192) -> DataFrame:

@@ -92,14 +92,14 @@ def _numerals(s, d):
     return t.select("o_orderkey", numerals.spoken(F.col("o_orderkey").cast("string"), F.col("number_words")).alias("spoken"))
 
 
-query("strip_unk", f"select utterance_id, start_time, {_STRIP.format("replace(transcript, '<UNK>', '')")} as text from utterances")(
-    lambda s, d: table(s, d, "utterances").select("utterance_id", "start_time", text.strip_unknown(F.col("transcript")).alias("text"))
+query("strip_unk", f"select utterance_id, case when not isnan(start_time) then start_time end as start_time, {_STRIP.format("replace(transcript, '<UNK>', '')")} as text from utterances")(
+    lambda s, d: table(s, d, "utterances").select("utterance_id", F.nanvl("start_time", F.lit(None)).alias("start_time"), text.strip_unknown(F.col("transcript")).alias("text"))
 )
 query("fix_text", f"select id_recording, case when text not in ('', '{text.SILENCE}') then text end as text from samples")(
     lambda s, d: table(s, d, "samples").select("id_recording", text.blank_to_null(F.col("text")).alias("text"))
 )
-query("original_filename", "select utterance_id, end_time, replace(list_extract(string_split(list_extract(string_split(lower(utterance_id || '.wav'), '-'), -1), '_'), -1), '.wav', '') as original from utterances")(
-    lambda s, d: table(s, d, "utterances").select("utterance_id", "end_time", text.original_filename(F.concat("utterance_id", F.lit(".wav"))).alias("original"))
+query("original_filename", "select utterance_id, case when not isnan(end_time) then end_time end as end_time, replace(list_extract(string_split(list_extract(string_split(lower(utterance_id || '.wav'), '-'), -1), '_'), -1), '.wav', '') as original from utterances")(
+    lambda s, d: table(s, d, "utterances").select("utterance_id", F.nanvl("end_time", F.lit(None)).alias("end_time"), text.original_filename(F.concat("utterance_id", F.lit(".wav"))).alias("original"))
 )
 query("extract_links", "select id_recording, list_extract(regexp_extract_all('<p><a href=\"' || source_url || '\">lyd</a></p>', '<a href=\"(.+?)\">', 1), 1) as link from samples")(
     lambda s, d: table(s, d, "samples").select("id_recording", F.get(text.links(F.concat(F.lit('<p><a href="'), "source_url", F.lit('">lyd</a></p>'))), 0).alias("link"))
