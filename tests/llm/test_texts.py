@@ -226,10 +226,15 @@ def test_residue(spark):
 
 
 def test_boilerplate_is_subtracted(spark):
-    footer = "Læs mere om vores gode avis og tegn abonnement i dag\nKontakt os på telefon\n"
+    footer = "Læs mere om vores gode avis og tegn abonnement i dag\nRing til os på hverdage\n"
     d = spark.createDataFrame([(i, footer + ("Siden blev ikke fundet" if i == 0 else f"Nyt nummer {'abcdefghijkl'[i]} om byens liv"), "avis") for i in range(12)], "doc_id long, text string, source string")
     assert [r.doc_id for r in residue.residual_documents(d).collect()] == [0]
     assert residue.residual_documents(d, recurrent=100).collect() == []
+    # the same corpus several times over, under new ids, gives the same documents
+    again = d.withColumn("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("doc_id") + 100 * i)))
+    assert sorted(r.doc_id for r in residue.residual_documents(again).collect()) == [100 * i for i in range(8)]
+    # the lines of another host are not boilerplate
+    assert residue.residual_documents(d.withColumn("source", F.concat(F.lit("s"), F.col("doc_id").cast("string")))).collect() == []
 
 
 def test_copies_make_no_line_recur(spark):
@@ -241,12 +246,15 @@ def test_copies_make_no_line_recur(spark):
 
 
 def test_recurrence_is_a_share_of_the_texts(spark):
-    def host(n):
-        return spark.createDataFrame([(i, f"nummer {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}" + ("\nhvem der?" if i < 9 else ""), "avis") for i in range(n)], "doc_id long, text string, host string").select("host", "text")
-
-    assert residue.recurrent_lines(host(500)).count() == 1
-    assert residue.recurrent_lines(host(1000)).count() == 0
-    assert residue.recurrent_lines(host(500), recurrent=10).count() == 0
+    def lines(n, **kw):
+        d = spark.createDataFrame([(i, f"nummer {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}" + ("\nhvem der?" if i < 9 else ""), "avis") for i in range(n)], "doc_id long, text string, source string")
+        read = residue.read_documents(d)
+        wanted = read.select("host", F.explode("keys").alias("line")).distinct()
+        return residue.recurrent_lines(read, wanted, **kw).count()
+
+    assert lines(800, share=0.01) == 1
+    assert lines(1000, share=0.01) == 0
+    assert lines(800, share=0.01, recurrent=10) == 0
 
 
 def test_long_text(spark):
