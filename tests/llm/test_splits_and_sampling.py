@@ -90,3 +90,26 @@ def test_sample_matches_targets(spark):
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, sampling.draw(df.repartition(7), t, m, buckets=8).collect()))
     assert sampling.draw(df.limit(0), t, m).collect() == []
     assert {(r.plan_id, r.cat_value) for r in sampling.sample_report(df, t, m).filter("not met").collect()} == {(1, "nonbinary"), (2, "Zz")}
+
+
+def test_shares_hold_where_a_value_is_short(spark):
+    rows = [(f"r{i}", None, None, None, "f" if i % 10 == 0 else "m", 30) for i in range(2000)]
+    df = spark.createDataFrame(rows, SAMPLE)
+    m = spark.createDataFrame([("a", "Aa")], "sub_dialect string, dialect string")
+    t = spark.createDataFrame([(1, "gender", "female", 0.5, 1, 0.5), (1, "gender", "male", 0.5, 1, 0.5), (1, "gender", "male", 0.5, 1, 0.5), (2, "gender", "nonbinary", 0.5, 3, 0.1), (2, "gender", "male", 0.5, 3, 0.1)], TARGETS)
+    loose = {(r.plan_id, r.cat_value): r for r in sampling.sample_report(df, t, m).collect()}
+    assert loose[1, "female"].n_drawn == 200 and loose[1, "male"].n_drawn == 500 and not loose[1, "female"].met and loose[1, "male"].met
+    kept = {(r.plan_id, r.cat_value): r for r in sampling.sample_report(df, t, m, keep_shares=True).collect()}
+    assert kept[1, "female"].n_drawn == 200 == kept[1, "male"].n_drawn and kept[1, "male"].actual_share == 0.5 and not kept[1, "male"].met
+    assert kept[2, "male"].n_drawn in (99, 100, 101) and kept[2, "nonbinary"].n_drawn == 0 and not kept[2, "nonbinary"].met
+
+
+def test_sampling_of_disagreeing_repeats_and_many_targets(spark):
+    rows = [(f"r{i}", None, None, None, g, 30) for i in range(300) for g in ("f", "m")]
+    df = spark.createDataFrame(rows, SAMPLE)
+    m = spark.createDataFrame([("a", "Aa")], "sub_dialect string, dialect string")
+    t = spark.createDataFrame([(1, "gender", "female", 0.5, 300, 1.0), (1, "gender", "male", 0.5, 301, 1.0)], TARGETS)
+    assert [tuple(r) for r in sampling.unmet_targets(df, t, m).collect()] == [(1, "male")]
+    many = spark.range(100_500).selectExpr("cast(id as int) as plan_id", "'gender' as category", "if(id % 2 = 0, 'male', 'zz') as cat_value", "0.01D as target_share", "0 as min_count", "1.0D as draw_share")
+    r = sampling.sample_report(df, many, m).groupBy("met").agg(F.count("*").alias("n"), F.sum("n_drawn").alias("k")).collect()
+    assert {x.met: x.n for x in r} == {True: 50_250, False: 50_250} and abs(sum(x.k for x in r) - 3 * 50_250) < 50_250

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from taleflow.llm import cross_split, leakage, mixing, residue, turns
@@ -170,14 +171,69 @@ def test_every_passage_within_the_errors_is_found():
             pieces.automaton = automaton
 
 
+def deviation(plan, frame):
+    """Greatest distance, in slots, of a source from its share at any slot of the schedule."""
+    rows = sorted(plan_rows(plan, frame), key=lambda r: r[2])
+    assert [r[2] for r in rows] == list(range(len(rows)))
+    total, given, worst = sum(w for _, w, _ in plan), Counter(), 0.0
+    for source, block, slot in rows:
+        assert block == given[source]
+        given[source] += 1
+        worst = max(worst, *(abs(given[s] - w / total * (slot + 1)) for s, w, _ in plan))
+    return worst, len(rows)
+
+
+def plan_rows(plan, frame):
+    total = sum(w for _, w, _ in plan)
+    weights = [w / total for _, w, _ in plan]
+    cumulated = np.cumsum(weights)
+    cumulated[-1] = 1.0
+    length = mixing.frame_length(weights, frame)
+    out = []
+    for k in range(3):
+        before = mixing.given_before(cumulated, k * length)
+        counts = mixing.given_before(cumulated, (k + 1) * length) - before
+        assert counts.min() >= 0 and counts.sum() == length
+        out += [(plan[s][0], int(before[s]) + j, k * length + t) for t, (s, j) in enumerate(mixing.pfair(counts.tolist()))]
+    return out
+
+
 def test_pfair_deviation():
-    slots = mixing.shares({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.0501})
-    table, total = mixing.pfair(slots), sum(slots.values())
-    assert total == mixing.PERIOD and sorted(t for x in table.values() for t in x) == list(range(total))
-    for s, x in table.items():
-        assert len(x) == slots[s]
-        for j, t in enumerate(x):
-            assert j * total // slots[s] <= t < -(-(j + 1) * total // slots[s])
+    rng = random.Random(5)
+    cases = [[0.5, 0.3, 0.15, 0.05], [1 / 3, 2 / 3], [1.0], [0.9, 0.0501, 0.0499]] + [[rng.random() + 0.01 for _ in range(rng.randrange(2, 25))] for _ in range(12)]
+    for weights in cases:
+        for frame in (10, 60):
+            worst, n = deviation([(f"s{i}", w, 0) for i, w in enumerate(weights)], frame)
+            assert worst < 2 and n >= 30  # two slots are one block
+    for counts in ([3, 1, 0, 7], [1] * 20, [50, 1], [0, 4]):
+        n, seen = sum(counts), Counter()
+        for t, (s, j) in enumerate(mixing.pfair(counts)):
+            assert j * n // counts[s] <= t < -(-(j + 1) * n // counts[s]) and seen[s] == j
+            seen[s] += 1
+
+
+def test_any_number_of_sources_and_small_weights(spark):
+    n = 1500
+    d = spark.createDataFrame([(i, "a b c d " * 8, f"s{i % n}") for i in range(3 * n)], "doc_id long, text string, source string")
+    t = spark.createDataFrame([(f"s{i}", 1e-5 if i == 3 else 1 / n, 2) for i in range(n)] + [("s1", None, None), ("rare", 1e-9, 1), ("none", 0.0, 1)], "source string, target_weight double, max_repeats int")
+    rows = mixing.mix(d, t, block_tokens=16).collect()
+    assert len({r.source for r in rows}) == n and len({(r.doc_id, r.repeat) for r in rows}) == len(rows)
+    assert {r.source for r in mixing.short_sources(d, t).collect()} == {"rare"}
+    rare = mixing.schedule(spark, [("a", 1.0, 50), ("b", 1e-7, 3)]).collect()
+    assert sorted(r.block for r in rare if r.source == "b") == [0, 1, 2] and len([r for r in rare if r.source == "a"]) == 50
+
+
+def test_token_counts_are_exact():
+    import os
+
+    from tokenizers import Tokenizer
+
+    if not os.path.exists(mixing.TOKENIZER):
+        return
+    rng, count, t = random.Random(2), mixing.TokenCounter(mixing.TOKENIZER), Tokenizer.from_file(mixing.TOKENIZER)
+    t.encode_special_tokens = True
+    texts = ["".join(rng.choice(["ord", "Æble", " ", " ", "  ", "\n", "\t", "'s", "'", "1", "23", ".", ",", "<|endoftext|>", "é", "e\u0301", "😀", "\u00a0", "\u3000"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    assert count(texts) == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_mix_shares(spark):
