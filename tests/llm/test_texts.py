@@ -128,7 +128,12 @@ def test_leaks_against_brute_force(spark):
         want |= {(i, k) for k, s, *_ in items if s and i is not None for ws in [words(s)] for a in range(len(ws) - 9) if " " + " ".join(ws[a : a + 10]) + " " in x}
     got = [tuple(r) for r in leakage.leaking_documents(d, it).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
-    assert {tuple(r)[:2] for r in leakage.leaked_passages(d, it, 10, 0, max_items=7).collect()} == want
+    assert {tuple(r)[:2] for r in leakage.leaked_passages(d, it, 10, 0, pass_letters=900).collect()} == want
+    assert {tuple(r)[:2] for r in leakage.leaked_passages(d, it, 10, 0, part_letters=70).collect()} == want
+    assert {tuple(r) for r in leakage.leaked_passages(d, it, 10, 2, 900, 70).collect()} == {tuple(r) for r in leakage.leaked_passages(d, it, 10, 2).collect()}
+    # an item given again with another text is searched with both
+    twice = it.union(spark.createDataFrame([(0, items[1][1], "s", "test")], it.schema))
+    assert {r.item_id for r in leakage.leaked_passages(d, twice, 10, 0).collect() if (r.doc_id, 1) in want} >= {0, 1} & {k for _, k in want}
     near = {tuple(r)[:2] for r in leakage.leaked_passages(d, it, 10, 2).collect()}
     assert want <= near
     assert leakage.leaking_documents(d, it.limit(0)).collect() == [] == leakage.leaking_documents(d.limit(0), it).collect()
