@@ -3,7 +3,10 @@
 Records that share an entity, directly or through a chain, form a component,
 found by alternating large-star and small-star. A component goes to one split
 as a whole: by the place of its hashed identifier among the components of its
-stratum, cut into proportional ranges.
+stratum, cut into proportional ranges. A component that is large for its
+stratum would burst any range it falls into; the few there can be are placed
+first, where most room is left, and the ranges share out the rest. The price:
+the split of those components follows from their size, not from their hash.
 """
 
 from __future__ import annotations
@@ -71,7 +74,7 @@ def tied_speakers(samples: DataFrame) -> DataFrame:
     return a.join(b, "component").filter("speaker_id_1 < speaker_id_2").select("speaker_id_1", "speaker_id_2")
 
 
-def assign_splits(samples: DataFrame, dialect_map: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS, large: float = 0.004) -> DataFrame:
+def assign_splits(samples: DataFrame, dialect_map: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS, large: float = 0.25) -> DataFrame:
     """One split per row: id_recording, speaker_id (canonical), component, dialect, split.
 
     All rows of a speaker, and of speakers tied by conversations, get one
@@ -80,12 +83,16 @@ def assign_splits(samples: DataFrame, dialect_map: DataFrame, splits: tuple[tupl
     frequent dialect. A component's place is the running sum of rows over the
     hashed identifiers of its stratum, and the split is the range of the
     proportions that this place falls into. Components with more than
-    ``large`` of all rows (at most 1/large of them) are placed first, largest
-    first, where most room is left; the ranges make up for them. Repeated rows
-    stay and get the same split; an empty input gives an empty result; other
-    columns are not read.
+    ``large`` of the rows that the smallest split should get from the stratum
+    (so at most 1 / (large * proportion) of them per stratum, at every size of
+    the table) are placed first, largest first, where the stratum has most
+    room left; the ranges are those of what is left. So a split misses its
+    share of a stratum by little more than half of the largest component that
+    is placed by its hash, unless a single component exceeds its split.
+    Repeated rows stay and get the same split; an empty input gives an empty
+    result; other columns are not read.
     """
-    dialects = dialect_map.select(C.squeezed(F.col("sub_dialect")).alias("sub"), F.col("dialect").alias("to")).dropDuplicates(["sub"])
+    dialects = dialect_map.select(C.squeezed(F.col("sub_dialect")).alias("sub"), F.col("dialect").alias("to")).groupBy("sub").agg(F.min("to").alias("to"))
     rows = samples.select("id_recording", C.speaker(F.col("speaker_id")).alias("speaker_id"), C.squeezed(F.col("dialect")).alias("sub"))
     rows = rows.join(dialects, "sub", "left").select("id_recording", "speaker_id", F.coalesce("to", F.lit("unknown")).alias("dialect"))
     rows = rows.withColumn("unit", F.coalesce("speaker_id", F.concat(F.lit("row:"), F.coalesce("id_recording", F.lit("")))))
@@ -94,38 +101,36 @@ def assign_splits(samples: DataFrame, dialect_map: DataFrame, splits: tuple[tupl
     comp = speaker_components(samples)
     units = counts.join(comp, counts.unit == comp.node, "left").withColumn("component", F.coalesce("component", "unit"))
     per = units.groupBy("component", "dialect").agg(F.sum("n").alias("n"))
-    whole = per.groupBy("component").agg(F.sum("n").alias("n"), F.max_by("dialect", F.struct("n", "dialect")).alias("stratum"))
+    # a dialect that is known goes before a missing one
+    whole = per.groupBy("component").agg(F.sum("n").alias("n"), F.max_by("dialect", F.struct(F.col("dialect") != "unknown", F.col("n"), F.col("dialect"))).alias("stratum"))
     whole = checkpoint(whole.withColumn("h", F.xxhash64("component")))
-    strata = whole.groupBy("stratum").agg(F.sum("n").alias("n")).collect()  # one row per dialect of the map
-    total = sum(r.n for r in strata)
-    limit = large * total
-    # at most 1/large components exceed the limit
-    big = whole.filter(F.col("n") > F.lit(limit)).orderBy(F.desc("n"), "component").collect()
-    left = {(s, r.stratum): p * r.n for r in strata for s, p in splits}
-    room = {s: p * total for s, p in splits}
+    strata = {r.stratum: r.n for r in whole.groupBy("stratum").agg(F.sum("n").alias("n")).collect()}  # one row per dialect of the map
+    spark = samples.sparkSession
+    least = min(p for _, p in splits)
+    limits = spark.createDataFrame([(s, large * least * n) for s, n in strata.items()], "stratum string, most double")
+    sized = whole.join(limits, "stratum")
+    big = sized.filter("n > most").orderBy(F.desc("n"), "component").collect()
+    left = {(s, stratum): p * n for stratum, n in strata.items() for s, p in splits}
     placed = []
     for r in big:
-        best = max(splits, key=lambda s: (room[s[0]], s[0]))[0]
-        room[best] -= r.n
+        best = max(splits, key=lambda s: (left[s[0], r.stratum], s[1], s[0]))[0]
         left[best, r.stratum] -= r.n
         placed.append((r.component, best))
-    spark = samples.sparkSession
     # the ranges: shares of what is left per stratum
     ranges = []
-    for r in strata:
-        open_ = {s: max(left[s, r.stratum], 0.0) for s, _ in splits}
+    for stratum in strata:
+        open_ = {s: max(left[s, stratum], 0.0) for s, _ in splits}
         whole_left = sum(open_.values()) or 1.0
         low = 0.0
         for i, (s, _) in enumerate(splits):
             high = low + open_[s] / whole_left if i + 1 < len(splits) else 2.0
-            ranges.append((r.stratum, s, low, high))
+            ranges.append((stratum, s, low, high))
             low = high
     range_df = spark.createDataFrame(ranges, "stratum string, split string, low double, high double")
     big_df = spark.createDataFrame(placed, "component string, split string")
-    small = whole.filter(F.col("n") <= F.lit(limit))
-    small = prefix_sum(small, ["stratum"], "h", ["component"], "n", "before", buckets=64, total="all")
+    small = prefix_sum(sized.filter("n <= most").select("component", "stratum", "n", "h"), ["stratum"], "h", ["component"], "n", "before", buckets=64, total="all")
     at = (F.col("before") + F.col("n") / 2) / F.col("all")
-    small = small.withColumn("at", at).join(F.broadcast(range_df), "stratum").filter("at >= low and at < high").select("component", "split")
+    small = small.withColumn("at", at).join(range_df, "stratum").filter("at >= low and at < high").select("component", "split")
     choice = small.union(big_df)
     unit_split = units.select("unit", "component").distinct().join(choice, "component")
     return rows.join(unit_split, "unit").select("id_recording", "speaker_id", "component", "dialect", "split")
