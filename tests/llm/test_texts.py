@@ -49,14 +49,18 @@ def test_turns_in_every_format(spark):
 def test_turn_numbers_across_blocks(spark):
     rng = random.Random(3)
     lines = [("c", t, None, 1, t, rng.choice("AB"), "x", ["x"]) for t in sorted(rng.sample(range(5000), 200))]
-    df = spark.createDataFrame(lines, "id_conversation string, start_ms long, end_ms long, chunk_no int, line_no int, speaker string, text string, words array<string>")
-    want, n, last = {}, 0, None
+    df = spark.createDataFrame(lines + lines[:9], "id_conversation string, start_ms long, end_ms long, chunk_no int, line_no int, speaker string, text string, words array<string>")
+    want, n, last = Counter(), 0, None
     for x in lines:
         n += x[5] != last
         last = x[5]
-        want[x[1]] = n
+        want[n, x[5]] += 1
     for block in (7, 100, 100_000):
-        assert {r.start_ms: r.turn_no for r in turns.number_turns(df, block).collect()} == want
+        pieces = turns.turn_pieces(df, block, {"k": F.size("words")}, {"n": F.sum("k")})
+        got = Counter()
+        for r in turns.number_turns(pieces).collect():
+            got[r.turn_no, r.speaker] += r.n
+        assert got == want
 
 
 def test_segments_cover():
