@@ -92,7 +92,7 @@ FORMATS = {
 
 
 def transcript_lines(transcripts: DataFrame) -> DataFrame:
-    """One row per spoken line of speaker A or B, in any of the known formats, repeats included.
+    """One row per line of speaker A or B, in any of the known formats, repeats and lines without words included.
 
     Columns: id_conversation, start_ms, end_ms, chunk_no, line_no, speaker,
     text (raw, wrapped parts joined), words.
@@ -129,23 +129,25 @@ def transcript_lines(transcripts: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("text").alias("text")))), lambda x: x["text"]), " ").alias("text"),
     )
     whole = joined.select(*cols).withColumn("text", F.trim(F.regexp_replace("text", C.BLANKS, " ")))
-    out = whole.select("id_conversation", "start_ms", "end_ms", "chunk_no", F.col("of_line").alias("line_no"), "speaker", "text", spoken_words(F.col("text")).alias("words"))
-    return out.filter(F.size("words") > 0)
+    return whole.select("id_conversation", "start_ms", "end_ms", "chunk_no", F.col("of_line").alias("line_no"), "speaker", "text", spoken_words(F.col("text")).alias("words"))
 
 
 def turn_pieces(lines: DataFrame, block_ms: int, item: dict[str, Column], total: dict[str, Column]) -> DataFrame:
     """The runs of one speaker's lines within blocks of ``block_ms`` of a conversation, numbered per block.
 
-    A line given twice (same time, label and text) counts once. ``item`` are
+    A line given twice (same time, label and text) counts once, one without
+    words not at all. ``item`` are
     columns of a line, ``total`` the aggregates of them per run. Repeats,
     order and runs all need the lines of one block only, so they share one
     shuffle, and a conversation of any length is never sorted by one task.
     """
     block = ["id_conversation", "block"]
-    rows = lines.withColumn("block", F.floor(F.col("start_ms") / block_ms)).select(*block, "start_ms", "end_ms", "speaker", F.xxhash64("text", F.length("text")).alias("said"), "chunk_no", "line_no", *[c.alias(k) for k, c in item.items()])
+    rows = lines.withColumn("block", F.floor(F.col("start_ms") / block_ms)).select(*block, "start_ms", "end_ms", "speaker", F.xxhash64("text", F.length("text")).alias("said"), "chunk_no", "line_no", F.size("words").alias("n"), *[c.alias(k) for k, c in item.items()])
     rows = rows.repartition(*block)
     w = Window.partitionBy(*block).orderBy("start_ms", F.coalesce("end_ms", "start_ms"), "end_ms", "chunk_no", "line_no", "speaker", "said")
-    once = rows.groupBy(*block, "start_ms", "end_ms", "speaker", "said").agg(F.min_by(F.struct("chunk_no", "line_no", *item), F.struct("chunk_no", "line_no")).alias("x")).select(*block, "start_ms", "end_ms", "speaker", "said", "x.*")
+    once = rows.groupBy(*block, "start_ms", "end_ms", "speaker", "said").agg(F.min_by(F.struct("chunk_no", "line_no", "n", *item), F.struct("chunk_no", "line_no")).alias("x"))
+    # filtered only here: further down the words would be looked for twice
+    once = once.select(*block, "start_ms", "end_ms", "speaker", "said", "x.*").filter("n > 0")
     once = once.withColumn("new", F.coalesce((F.lag("speaker").over(w) != F.col("speaker")).cast("int"), F.lit(1)))
     once = once.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return once.groupBy(*block, "island").agg(F.first("speaker").alias("speaker"), *[c.alias(k) for k, c in total.items()])
@@ -172,7 +174,7 @@ def speaker_turns(transcripts: DataFrame, block_ms: int = 600_000) -> DataFrame:
     timed line is header; an empty table gives an empty result; further
     columns are not read.
     """
-    pieces = turn_pieces(transcript_lines(transcripts), block_ms, {"k": F.size("words")}, {"n_words": F.sum("k")})
+    pieces = turn_pieces(transcript_lines(transcripts), block_ms, {}, {"n_words": F.sum("n")})
     turns = number_turns(materialise(pieces, "turns"))
     return turns.groupBy("id_conversation", "turn_no").agg(F.first("speaker").alias("speaker"), F.sum("n_words").cast("int").alias("n_words"))
 
