@@ -9,6 +9,12 @@ the admissible shifts of the evaluation texts; a pair goes on where the
 similarity hashes lie within the Hamming radius that its edits allow (a word
 replaced flips two bits, a word added or dropped one), and is verified by the
 edit distance of the words. Neither step can lose a near pair.
+
+Copies of a text are one class, and only classes have blocks. A block that very
+many training texts share (a common opening) would pair all of them with all
+evaluation texts that have it; for such hot blocks the rest of the text is cut
+again, into one segment more than the edits that are left, and the join is by
+the hot block together with a block of the rest.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from .normalise import words
 #: At most one word in this many is added, dropped or replaced.
 WORDS_PER_EDIT = 6
 MIN_WORDS = 4
+#: Training texts from which on a block counts as hot.
+HOT = 1000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,6 +94,25 @@ def own_blocks(n: int, per: int = WORDS_PER_EDIT) -> tuple[np.ndarray, np.ndarra
     return cut[:, 0], cut[:, 1], (n << 8) | np.arange(len(cut))
 
 
+@lru_cache(maxsize=None)
+def rest_segments(n: int, i: int, per: int = WORDS_PER_EDIT) -> tuple[tuple[int, int, bool], ...]:
+    """(start, length, before) of the segments of the words around segment ``i``: as many as there are segments, none empty.
+
+    With segment ``i`` unchanged, the edits fall into the rest, which has one
+    segment more than they are. Empty where the rest has too few words.
+    """
+    cut = segments(n, per)
+    k, (p, length) = len(cut), cut[i]
+    left, right = p, n - p - length
+    if left + right < k:
+        return ()
+    a = min(max(round(k * left / (left + right)), k - right, 0), left)
+    out = [(j * left // a, (j + 1) * left // a, True) for j in range(a)]
+    b = k - a
+    out += [(p + length + j * right // b, p + length + (j + 1) * right // b, False) for j in range(b)]
+    return tuple((x, y - x, before) for x, y, before in out)
+
+
 @lru_cache(maxsize=1 << 17)
 def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
@@ -150,14 +177,11 @@ def _blocks(probe: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # copies of a text within a batch give their blocks once
-            first = {k: i for i, k in reversed(list(enumerate(zip(batch.column("c1").to_pylist(), batch.column("c2").to_pylist()))))}
-            rows = np.array(sorted(first.values()), dtype=np.int64)
             lengths = batch.column("n").to_numpy()
             texts = batch.column("words").to_pylist()
             fixed = {c: batch.column(c).to_numpy() for c in ("c1", "c2", "simhash")}
-            for n in np.unique(lengths[rows]) if len(rows) else ():
-                at = rows[lengths[rows] == n]
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
                 start, length, slot = layout(int(n))
                 if not len(start):
                     continue
@@ -165,7 +189,42 @@ def _blocks(probe: bool):
                 code = codes(hashes, start, length, slot)
                 k = len(start)
                 arrays = [pa.array(code.ravel()), *(pa.array(np.repeat(fixed[c][at], k)) for c in ("c1", "c2", "simhash")), pa.array(np.full(k * len(at), n, np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["code", "c1", "c2", "simhash", "n"])
+                arrays += [pa.array(np.tile(slot.astype(np.int32), len(at))), pa.array(np.tile(start.astype(np.int32), len(at)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["code", "c1", "c2", "simhash", "n", "slot", "start"])
+
+    return run
+
+
+_BLOCK = "code long, c1 long, c2 long, simhash long, n int, slot int, start int"
+
+
+def _rest_blocks(probe: bool):
+    """Blocks of the rest of the text around a hot block, joined with its code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, keys = [], []
+            cols = (batch.column(c).to_pylist() for c in ("code", "slot", "start", "words"))
+            for row, (code, slot, start, text) in enumerate(zip(*cols)):
+                ws = text.split(" ")
+                n, i = slot >> 8, slot & 255
+                edits = len(segments(n)) - 1
+                parts = rest_segments(n, i)
+                p, length = segments(n)[i]
+                found = set() if parts else {code}
+                for j, (s, size, before) in enumerate(parts):
+                    if not probe:
+                        at = (s,)
+                    elif before:
+                        at = range(max(s - edits, 0), min(s + edits, start - size) + 1)
+                    else:
+                        at = range(max(s - p + start - edits, start + length), min(s - p + start + edits, len(ws) - size) + 1)
+                    for a in at:
+                        found.add(xxhash.xxh64_intdigest(f"{code} {j} {' '.join(ws[a : a + size])}") - (1 << 63))
+                take += [row] * len(found)
+                keys += found
+            out = batch.select(["c1", "c2", "simhash", "n"]).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *out.columns], names=["code", "c1", "c2", "simhash", "n"])
 
     return run
 
@@ -209,54 +268,71 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array(dist, pa.int32())], names=["e1", "e2", "t1", "t2", "edits"])
 
 
-def near_classes(prepared: DataFrame) -> DataFrame:
+def text_classes(prepared: DataFrame) -> DataFrame:
+    """One row per distinct normalised text and role: role, c1, c2, words, n, simhash."""
+    return prepared.groupBy("role", "c1", "c2").agg(*[F.first(c).alias(c) for c in ("words", "n", "simhash")])
+
+
+def near_classes(classes: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs of text classes, evaluation (e1, e2) and training (t1, t2), with their word edits.
 
     A class is one normalised text; copies are not expanded into pairs.
-    ``prepared`` is read three times and should be a written table.
+    ``classes`` is read several times and should be a written table.
     """
-    ev, tr = (prepared.filter(F.col("role") == r) for r in ("eval", "train"))
-    cols = "code long, c1 long, c2 long, simhash long, n int"
-    need = ["words", "n", "c1", "c2", "simhash"]
-    own = tr.select(*need).mapInArrow(_blocks(False), cols).select("code", F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("simhash").alias("ts"), F.col("n").alias("tn"))
-    probe = ev.select(*need).mapInArrow(_blocks(True), cols).select("code", F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("simhash").alias("es"), F.col("n").alias("en"))
+    ev, tr = (classes.filter(F.col("role") == r).select("words", "n", "c1", "c2", "simhash") for r in ("eval", "train"))
+    own, probe = tr.mapInArrow(_blocks(False), _BLOCK), ev.mapInArrow(_blocks(True), _BLOCK)
+    hot_codes = materialise(own.groupBy("code").agg(F.count("*").alias("k")).filter(F.col("k") >= hot).select("code"), "hot-codes")
+    names = {"c1": "1", "c2": "2", "simhash": "s", "n": "n"}
+    named = lambda df, side: df.select("code", *[F.col(c).alias(side + x) for c, x in names.items()])
     allowed = F.floor(F.greatest("tn", "en") / WORDS_PER_EDIT)
     gap = F.abs(F.col("tn") - F.col("en"))
     near = (gap <= allowed) & (F.bit_count(F.col("ts").bitwiseXOR(F.col("es"))) <= 2 * allowed - gap)
-    pairs = own.join(probe, "code").filter(near).select("e1", "e2", "t1", "t2").distinct()
-    text = lambda rows, a, b, w: rows.select(F.col("c1").alias(a), F.col("c2").alias(b), F.col("words").alias(w))
-    # one text per class; only classes that occur in a pair are looked up
-    ets = text(ev, "e1", "e2", "words_e").join(pairs.select("e1", "e2").distinct(), ["e1", "e2"], "left_semi").dropDuplicates(["e1", "e2"])
-    tts = text(tr, "t1", "t2", "words_t").join(pairs.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-    both = pairs.join(ets, ["e1", "e2"]).join(tts, ["t1", "t2"])
+    meet = lambda a, b: named(a, "t").join(named(b, "e"), "code").filter(near).select("e1", "e2", "t1", "t2")
+    if hot_codes.isEmpty():
+        pairs = meet(own, probe)
+    else:
+        cold = [df.join(hot_codes, "code", "left_anti") for df in (own, probe)]
+        rest = []
+        for df, texts, is_probe in ((own, tr, False), (probe, ev, True)):
+            rows = df.join(hot_codes, "code", "left_semi").join(texts.select("c1", "c2", "words"), ["c1", "c2"])
+            rest.append(rows.select("code", "c1", "c2", "simhash", "n", "slot", "start", "words").mapInArrow(_rest_blocks(is_probe), "code long, c1 long, c2 long, simhash long, n int"))
+        pairs = meet(*cold).union(meet(*rest))
+    pairs = pairs.distinct()
+    text = lambda rows, side: rows.select(F.col("c1").alias(side + "1"), F.col("c2").alias(side + "2"), F.col("words").alias("words_" + side))
+    both = pairs.join(text(ev, "e"), ["e1", "e2"]).join(text(tr, "t"), ["t1", "t2"])
     return both.select("e1", "e2", "t1", "t2", "words_e", "words_t").mapInArrow(_verify, "e1 long, e2 long, t1 long, t2 long, edits int")
 
 
-def overlapping_pairs(samples: DataFrame) -> DataFrame:
+def _prepared(samples: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The members of the classes, and the near pairs of classes, both as written tables."""
+    rows = materialise(prepare(samples), "cross-split")
+    classes = materialise(text_classes(rows), "text-classes")
+    return rows.select("role", "split", "source", "id_recording", "c1", "c2"), materialise(near_classes(classes, hot), "near-classes")
+
+
+def overlapping_pairs(samples: DataFrame, hot: int = HOT) -> DataFrame:
     """All pairs of one evaluation and one training recording with nearly the same text.
 
     Columns id_recording_1 < id_recording_2. Null texts and ids give nothing,
     repeated rows change nothing, an empty table gives an empty result,
     further columns are not read.
     """
-    prepared = materialise(prepare(samples), "cross-split")
-    classes = materialise(near_classes(prepared).select("e1", "e2", "t1", "t2"), "near-classes")
-    member = prepared.select("role", "id_recording", "c1", "c2")
+    member, classes = _prepared(samples, hot)
+    classes = classes.select("e1", "e2", "t1", "t2")
     ev = member.filter("role = 'eval'").select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("id_recording").alias("a"))
     tr = member.filter("role = 'train'").select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("id_recording").alias("b"))
     pairs = classes.join(ev, ["e1", "e2"]).join(tr, ["t1", "t2"]).filter("a <> b")
     return pairs.select(F.least("a", "b").alias("id_recording_1"), F.greatest("a", "b").alias("id_recording_2")).distinct()
 
 
-def overlap_report(samples: DataFrame) -> DataFrame:
+def overlap_report(samples: DataFrame, hot: int = HOT) -> DataFrame:
     """Per split and source of both sides: recordings that recur and the number of pairs, exact and near.
 
     Counted from class pairs and the classes' members per split and source, so
     that copies are never expanded.
     """
-    prepared = materialise(prepare(samples), "cross-split")
-    classes = materialise(near_classes(prepared), "near-classes")
-    members = prepared.select("role", "split", "source", "c1", "c2", "id_recording").distinct().groupBy("role", "split", "source", "c1", "c2").agg(F.count("*").alias("k"))
+    member, classes = _prepared(samples, hot)
+    members = member.select("role", "split", "source", "c1", "c2", "id_recording").distinct().groupBy("role", "split", "source", "c1", "c2").agg(F.count("*").alias("k"))
     ev = members.filter("role = 'eval'").select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"), F.col("k").alias("n_eval"))
     tr = members.filter("role = 'train'").select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("source").alias("train_source"), F.col("k").alias("n_train"))
     tr = tr.groupBy("t1", "t2", "train_source").agg(F.sum("n_train").alias("n_train"))

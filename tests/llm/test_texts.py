@@ -69,6 +69,19 @@ def test_segments_cover():
         assert cut[0][0] == 0 and sum(x for _, x in cut) == n and all(x > 0 for _, x in cut)
 
 
+def test_rest_segments_cover():
+    for n in range(4, 60):
+        cut = cross_split.segments(n)
+        for i, (p, length) in enumerate(cut):
+            parts = cross_split.rest_segments(n, i)
+            if not parts:
+                assert n - length < len(cut)
+                continue
+            covered = [x for s, k, _ in parts for x in range(s, s + k)]
+            assert len(parts) == len(cut) and all(k > 0 for _, k, _ in parts) and len(covered) == len(set(covered))
+            assert not set(covered) & set(range(p, p + length)) and all((s < p) == before for s, _, before in parts)
+
+
 def test_overlaps_against_brute_force(spark):
     rng = random.Random(6)
     vocabulary = [f"ord{i}" for i in range(60)] + ["øre", "<UNK>", "aften"]
@@ -97,6 +110,9 @@ def test_overlaps_against_brute_force(spark):
             of[i] = (role, ws)
     want = {tuple(sorted((i, j))) for i, (r, x) in of.items() for j, (q, y) in of.items() if r == "e" and q == "t" and distance(x, y) * 6 <= max(len(x), len(y))}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    # every block hot, and some of them
+    for hot in (1, 4):
+        assert {tuple(r) for r in cross_split.overlapping_pairs(df, hot).collect()} == want
     report = cross_split.overlap_report(df)
     assert report.agg(F.sum("n_pairs")).first()[0] == len(want)
     assert cross_split.overlapping_pairs(df.limit(0)).collect() == []
