@@ -11,9 +11,11 @@ off as periods and gaps:
    linear merges. A state of a block is bounded by the block's length in
    milliseconds, never by the number of rows, so an entity with a third of all
    rows neither collects in one task nor grows a list without bound;
-3. the blocks of an entity are combined through their summaries (one small row
-   per block): the running maximum of the ends before a block tells which of
-   its intervals continue an earlier period.
+3. the blocks of an entity are chained through their summaries (one small row
+   of numbers per block, never its lists): the running maximum of the ends
+   before a block tells which of its intervals continue an earlier period, and
+   the last interval left open tells where that period began. So the windows
+   over an entity sort as many rows as it has hours, whatever its intervals.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
+
 BLOCK_MS = 3_600_000
 _STATE = "entity string, block long, starts array<long>, ends array<long>"
 
@@ -137,56 +141,29 @@ def periods_and_gaps(df: DataFrame, entity: str, start_ms: str, end_ms: str, blo
     valid interval has no row; an empty input gives an empty result. Other
     columns of ``df``, whatever their names, are not read.
     """
-    states = interval_states(df, entity, start_ms, end_ms, block_ms)
-    # running maximum of the ends before a block; the window runs over block rows only
-    before = Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    states = states.withColumn("reach", F.max(F.element_at("ends", -1)).over(before))
+    states = materialise(interval_states(df, entity, start_ms, end_ms, block_ms), "intervals")
+    by_block = Window.partitionBy("entity").orderBy("block")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    ends = states.select("entity", "block", F.element_at("ends", -1).alias("last_end")).withColumn("reach", F.max("last_end").over(before)).select("entity", "block", "reach")
     # an interval opens a period unless the reach of earlier blocks touches it
-    opens = states.withColumn("n_in", F.when(F.col("reach").isNull(), 0).otherwise(F.size(F.filter("starts", lambda s: s <= F.col("reach")))))
-    n = F.size("starts") - F.col("n_in")
-    at = F.col("n_in") + 1
-    opens = opens.select(
-        "entity",
-        "block",
-        F.slice("starts", at, n).alias("s"),
-        F.slice("ends", at, n).alias("e"),
-        # where everything before the first opening interval ends
-        F.when(F.col("n_in") > 0, F.greatest("reach", F.element_at("ends", F.greatest(F.col("n_in"), F.lit(1))))).otherwise(F.col("reach")).alias("closed"),
-        F.greatest("reach", F.element_at("ends", -1)).alias("end_after"),
-    )
-    blocks = Window.partitionBy("entity").orderBy("block")
-    opens = opens.withColumn("has", F.size("s") > 0).withColumns(
-        {
-            "open_before": F.last(F.when(F.col("has"), F.element_at(F.when(F.col("has"), F.col("s")), -1)), ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)),
-            "is_last": F.lead("block").over(blocks).isNull(),
-        }
-    )
-    inner = F.expr("sequence(1, greatest(size(s) - 1, 1))")
-    rows = F.concat(
-        # the period left open by an earlier block and the gap after it
-        F.when(
-            F.col("has") & F.col("open_before").isNotNull(),
-            F.array(
-                F.struct(F.lit("period").alias("kind"), F.col("open_before").alias("start_ms"), F.col("closed").alias("end_ms")),
-                F.struct(F.lit("gap").alias("kind"), F.col("closed").alias("start_ms"), F.element_at(F.when(F.col("has"), F.col("s")), 1).alias("end_ms")),
-            ),
-        ).otherwise(F.expr("array()")),
-        F.when(
-            F.size("s") > 1,
-            F.flatten(
-                F.transform(
-                    inner,
-                    lambda i: F.array(
-                        F.struct(F.lit("period").alias("kind"), F.get("s", i - 1).alias("start_ms"), F.get("e", i - 1).alias("end_ms")),
-                        F.struct(F.lit("gap").alias("kind"), F.get("e", i - 1).alias("start_ms"), F.get("s", i).alias("end_ms")),
-                    ),
-                )
-            ),
-        ).otherwise(F.expr("array()")),
-        # what is open after the last block
-        F.when(
-            F.col("is_last"),
-            F.array(F.struct(F.lit("period").alias("kind"), F.when(F.col("has"), F.element_at(F.when(F.col("has"), F.col("s")), -1)).otherwise(F.col("open_before")).alias("start_ms"), F.col("end_after").alias("end_ms"))),
-        ).otherwise(F.expr("array()")),
-    )
-    return opens.select("entity", F.explode(rows).alias("r")).select("entity", "r.kind", "r.start_ms", "r.end_ms")
+    n_in = F.when(F.col("reach").isNull(), 0).otherwise(F.size(F.filter("starts", lambda s: s <= F.col("reach"))))
+    opens = states.join(ends, ["entity", "block"]).withColumn("n_in", n_in)
+    n, at = F.size("starts") - F.col("n_in"), F.col("n_in") + 1
+    row = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("start_ms"), b.alias("end_ms"))
+    # what lies between the intervals of one block that open periods
+    inside = opens.filter(n > 1).select("entity", F.slice("starts", at, n).alias("s"), F.slice("ends", at, n).alias("e"))
+    inside = inside.select("entity", F.posexplode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("s"), F.slice("e", 1, F.size("e") - 1).alias("e"), F.slice("s", 2, F.size("s")).alias("next"))).alias("i", "x"))
+    inside = inside.select("entity", F.explode(F.array(row("period", F.col("x.s"), F.col("x.e")), row("gap", F.col("x.e"), F.col("x.next")))).alias("r"))
+    # one row of numbers per block: where its first and last period opens, where all before its first ends, and its reach
+    ends_before = F.when(F.col("n_in") > 0, F.greatest("reach", F.element_at("ends", F.greatest(F.col("n_in"), F.lit(1))))).otherwise(F.col("reach"))
+    chain = opens.select(
+        "entity", "block", F.when(n > 0, F.element_at("starts", F.least(at, F.size("starts")))).alias("first"), F.when(n > 0, F.element_at("starts", -1)).alias("last"),
+        ends_before.alias("closed"), F.greatest("reach", F.element_at("ends", -1)).alias("end_after"),
+    )
+    chain = chain.withColumns({"open_before": F.last("last", ignorenulls=True).over(before), "is_last": F.lead("block").over(by_block).isNull()})
+    # the period left open by an earlier block and the gap after it; what is open after the last block
+    left_open = F.array(row("period", F.col("open_before"), F.col("closed")), row("gap", F.col("closed"), F.col("first")))
+    at_end = F.array(row("period", F.coalesce("last", "open_before"), F.col("end_after")))
+    nothing = F.array().cast("array<struct<kind: string, start_ms: bigint, end_ms: bigint>>")
+    between = chain.select("entity", F.explode(F.concat(F.when(F.col("first").isNotNull() & F.col("open_before").isNotNull(), left_open).otherwise(nothing), F.when(F.col("is_last"), at_end).otherwise(nothing))).alias("r"))
+    return inside.union(between).select("entity", "r.kind", "r.start_ms", "r.end_ms")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +38,8 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     Columnar and compressed, hence smaller than a checkpoint and prunable. The
-    table is removed with :func:`drop` or when the driver ends.
+    table is removed with :func:`release`, on leaving :func:`scratch`, or when
+    the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/taleflow-{name}-{uuid.uuid4().hex}"
@@ -60,6 +63,23 @@ def drop(path: str) -> None:
         pass
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` whose rows are no longer needed by any plan."""
+    for t in tables:
+        drop(getattr(t, "_taleflow_path", ""))
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete on leaving every table written inside; results must have been written or collected by then."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in set(_WRITTEN) - before:
+            drop(path)
+
+
 @atexit.register
 def drop_all() -> None:
     for path in list(_WRITTEN):
