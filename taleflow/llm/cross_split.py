@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import materialise, release
 from . import columns as C
 from .normalise import words
 
@@ -307,7 +307,9 @@ def _prepared(samples: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
     """The members of the classes, and the near pairs of classes, both as written tables."""
     rows = materialise(prepare(samples), "cross-split")
     classes = materialise(text_classes(rows), "text-classes")
-    return rows.select("role", "split", "source", "id_recording", "c1", "c2"), materialise(near_classes(classes, hot), "near-classes")
+    near = materialise(near_classes(classes, hot), "near-classes")
+    release(classes)
+    return rows.select("role", "split", "source", "id_recording", "c1", "c2"), near
 
 
 def overlapping_pairs(samples: DataFrame, hot: int = HOT) -> DataFrame:

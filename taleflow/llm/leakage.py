@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import prefix_sum
-from ..plans.storage import materialise
+from ..plans.storage import materialise, release
 from .normalise import words
 
 try:
@@ -231,6 +231,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = 10,
         if blocks > 1:
             found = materialise(found, "leaks")
         out = found if out is None else out.union(found)
+    if blocks > 1:
+        release(parts)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import prefix_sum
-from ..plans.storage import checkpoint
+from ..plans.storage import materialise, release
 from . import columns as C
 
 SPLITS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
@@ -45,13 +45,15 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Component of every node that has an edge: columns node, component (its least node).
 
     Alternates large-star and small-star until the edges are a set of stars,
-    every node linked to its component's least node. Each round is cut with a
-    reliable checkpoint; nothing is collected but one count and one hash sum.
+    every node linked to its component's least node. Each round is written to
+    the shared folder and replaces the one before; nothing is collected but
+    one count and one hash sum.
     """
-    edges = checkpoint(_small_star(edges.select("u", "v")))
+    edges = materialise(_small_star(edges.select("u", "v")), "edges")
     seen = None
     for _ in range(max_rounds):
-        edges = checkpoint(_small_star(_large_star(edges)))
+        before, edges = edges, materialise(_small_star(_large_star(edges)), "edges")
+        release(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
             break
@@ -97,13 +99,13 @@ def assign_splits(samples: DataFrame, dialect_map: DataFrame, splits: tuple[tupl
     rows = rows.join(dialects, "sub", "left").select("id_recording", "speaker_id", F.coalesce("to", F.lit("unknown")).alias("dialect"))
     rows = rows.withColumn("unit", F.coalesce("speaker_id", F.concat(F.lit("row:"), F.coalesce("id_recording", F.lit("")))))
     # rows -> (unit, dialect) counts, combined before the shuffle
-    counts = checkpoint(rows.groupBy("unit", "dialect").agg(F.count("*").alias("n")))
+    counts = materialise(rows.groupBy("unit", "dialect").agg(F.count("*").alias("n")), "counts")
     comp = speaker_components(samples)
     units = counts.join(comp, counts.unit == comp.node, "left").withColumn("component", F.coalesce("component", "unit"))
     per = units.groupBy("component", "dialect").agg(F.sum("n").alias("n"))
     # a dialect that is known goes before a missing one
     whole = per.groupBy("component").agg(F.sum("n").alias("n"), F.max_by("dialect", F.struct(F.col("dialect") != "unknown", F.col("n"), F.col("dialect"))).alias("stratum"))
-    whole = checkpoint(whole.withColumn("h", F.xxhash64("component")))
+    whole = materialise(whole.withColumn("h", F.xxhash64("component")), "components")
     strata = {r.stratum: r.n for r in whole.groupBy("stratum").agg(F.sum("n").alias("n")).collect()}  # one row per dialect of the map
     spark = samples.sparkSession
     least = min(p for _, p in splits)

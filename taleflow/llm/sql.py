@@ -36,4 +36,11 @@ r as (select s, t from n union select r.s, n.t from r join n on r.t = n.s)
 select s as speaker_id_1, t as speaker_id_2 from r where s < t
 """
 
-SQL = {"p1_found": _P1_FOUND, "p5_found": _P5_FOUND}
+# letters for tokens: no source lies near its limit
+_P7_FOUND = r"""
+with d as (select regexp_replace(regexp_replace(regexp_replace(lower(source), '[\s\x{a0}\x{200b}\x{feff}]+', '', 'g'), '-', '_', 'g'), '_da$', '') s, length(coalesce(text, '')) k from documents),
+t as (select regexp_replace(regexp_replace(regexp_replace(lower(source), '[\s\x{a0}\x{200b}\x{feff}]+', '', 'g'), '-', '_', 'g'), '_da$', '') s, target_weight w, max_repeats r from mix_targets)
+select t.s as source from t where r * coalesce((select sum(k) from d where d.s = t.s), 0) < w * (select sum(k) from d)
+"""
+
+SQL = {"p1_found": _P1_FOUND, "p5_found": _P5_FOUND, "p7_found": _P7_FOUND}
