@@ -78,21 +78,84 @@ def resampler(rate: int):
     return resample
 
 
-def augmenter(seed: int, gain_db: float = 6.0, noise_p: float = 0.2):
-    """A pandas UDF: peak normalisation, random gain and noise, reproducible per (seed, key)."""
+def encode_wav(rate: int):
+    """A pandas UDF: 16-bit mono WAV bytes of samples in [-1, 1]; null stays null."""
+
+    @F.pandas_udf("binary")
+    def encode(a: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            out = io.BytesIO()
+            with wave.open(out, "wb") as w:
+                w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+                w.writeframes(np.clip(np.round(np.asarray(x, np.float64) * 32768), -32768, 32767).astype("<i2").tobytes())
+            return out.getvalue()
+
+        return pd.Series([one(x) for x in a], dtype=object)
+
+    return encode
+
+
+def hours(a: Column, rate: int) -> Column:
+    """Aggregate: total hours of waveforms, their samples over the rate."""
+    return F.sum(F.size(a).cast("long")) / F.lit(rate * 3600.0)
+
+
+def samples_of_hours(n_hours: Column | float, mean_seconds: Column | float) -> Column:
+    """How many samples of a mean length make up so many hours, rounded down."""
+    h, m = (x if isinstance(x, Column) else F.lit(float(x)) for x in (n_hours, mean_seconds))
+    return F.floor(h * 3600 / m).cast("long")
+
+
+#: Kinds of coloured noise with the power of the frequency that their power spectrum follows.
+COLOURS = {"white": 0.0, "pink": -1.0, "brown": -2.0, "blue": 1.0, "violet": 2.0}
+FILTERS = ("low", "high", "band", "stop")
+
+
+def _coloured(n: int, power: float, rng: np.random.Generator) -> np.ndarray:
+    spectrum = np.fft.rfft(rng.normal(size=n))
+    f = np.arange(len(spectrum), dtype=np.float64)
+    f[0] = 1.0
+    x = np.fft.irfft(spectrum * f ** (power / 2), n)
+    top = np.abs(x).max()
+    return x / top if top else x
+
+
+def _filtered(x: np.ndarray, kind: str, low: float, high: float) -> np.ndarray:
+    """Frequencies outside the pass (or inside the stop) removed; cut-offs as shares of half the sampling rate."""
+    spectrum = np.fft.rfft(x)
+    f = np.linspace(0, 1, len(spectrum))
+    keep = {"low": f <= high, "high": f >= low, "band": (f >= low) & (f <= high), "stop": (f < low) | (f > high)}[kind]
+    return np.fft.irfft(spectrum * keep, len(x))
+
+
+def augment_array(x, rng: np.random.Generator, background=None, gain_db: float = 6.0, background_p: float = 0.7, noise_p: float = 0.2, filter_p: float = 0.2) -> np.ndarray:
+    """Peak normalisation and gain always; background, coloured noise and one of four filters each with its probability."""
+    y = np.asarray(x, np.float64)
+    if not len(y):
+        return y.astype(np.float32)
+    peak = np.abs(y).max()
+    y = y / peak if peak else y
+    y = y * 10 ** (rng.uniform(-gain_db, gain_db) / 20)
+    draws = rng.random(3)
+    if background is not None and len(background) and draws[0] < background_p:
+        b = np.resize(np.roll(np.asarray(background, np.float64), rng.integers(len(background))), len(y))
+        top = np.abs(b).max()
+        y = y + (b / top if top else b) * 10 ** (-rng.uniform(3, 30) / 20)
+    if draws[1] < noise_p:
+        y = y + _coloured(len(y), rng.choice(list(COLOURS.values())), rng) * 10 ** (-rng.uniform(10, 40) / 20)
+    if draws[2] < filter_p:
+        low = rng.uniform(0.01, 0.3)
+        y = _filtered(y, str(rng.choice(FILTERS)), low, min(low + rng.uniform(0.2, 0.6), 1.0))
+    return y.astype(np.float32)
+
+
+def augmenter(seed: int, **options):
+    """A pandas UDF of (array, integer key, background array or null): reproducible per seed and key; null stays null."""
 
     @F.pandas_udf("array<float>")
-    def augment(a: pd.Series, key: pd.Series) -> pd.Series:
-        out = []
-        for x, k in zip(a, key):
-            rng = np.random.default_rng([seed, int(k) & 0xFFFFFFFF])
-            y = np.asarray(x, np.float32)
-            peak = np.abs(y).max() if len(y) else 0
-            y = y / peak if peak else y
-            y = y * 10 ** (rng.uniform(-gain_db, gain_db) / 20)
-            if rng.random() < noise_p:
-                y = y + rng.normal(0, 0.01, len(y))
-            out.append(y.astype(np.float32))
-        return pd.Series(out)
+    def augment(a: pd.Series, key: pd.Series, background: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else augment_array(x, np.random.default_rng([seed, int(k) & 0xFFFFFFFF]), b, **options) for x, k, b in zip(a, key, background)], dtype=object)
 
     return augment

@@ -27,11 +27,19 @@ def evaluation_age_group(age: Column, strict: bool = False) -> Column:
     return F.when((age >= 0) & (age < 25), "0-25").when((age >= low) & (age < 50), "25-50").when(age >= 50, "50+")
 
 
-def main_dialect(df: DataFrame, mapping: DataFrame, sub: str = "dialect", country: str | None = "country_birth") -> DataFrame:
-    """Sub-dialect replaced by its dialect (null if unknown), Non-native for speakers born outside DK (null means DK)."""
-    m = mapping.select(F.col("sub_dialect").alias("__sub"), F.col("dialect").alias("__main")).dropDuplicates(["__sub"])
-    out = df.join(m, df[sub] == m["__sub"], "left").drop("__sub")
+def main_dialect(df: DataFrame, mapping: DataFrame, sub: str = "dialect", country: str | None = "country_birth", strict: bool = False) -> DataFrame:
+    """Sub-dialect replaced by its dialect, Non-native for speakers born outside DK (null means DK).
+
+    A sub-dialect that is not in the mapping becomes null or, if ``strict``, an
+    error when the rows are read. Of a sub-dialect given twice the least
+    dialect counts.
+    """
+    m = mapping.groupBy(F.col("sub_dialect").alias("__sub")).agg(F.min("dialect").alias("__main"))
+    out = df.join(m, df[sub] == m["__sub"], "left")
     value = F.col("__main")
+    if strict:
+        missing = F.col(sub).isNotNull() & F.col("__sub").isNull()
+        value = F.when(missing, F.raise_error(F.concat(F.lit("no dialect for "), F.col(sub)))).otherwise(value)
     if country:
         value = F.when(F.coalesce(F.col(country), F.lit("DK")) != "DK", "Non-native").otherwise(value)
-    return out.withColumn(sub, value).drop("__main")
+    return out.withColumn("__value", value).drop("__main", "__sub", sub).withColumnRenamed("__value", sub).select(*df.columns)

@@ -11,55 +11,69 @@ from pyspark.sql.types import LongType, StructType
 COUNTS = StructType().add("hits", LongType()).add("substitutions", LongType()).add("deletions", LongType()).add("insertions", LongType())
 
 
-def align(ref: list, hyp: list) -> tuple[int, int, int, int]:
-    """(hits, substitutions, deletions, insertions) of an optimal alignment.
+#: An error outweighs any number of insertions.
+_ERROR = 1 << 31
+#: Cells of the distance tables that are worked on at once.
+_CELLS = 1 << 20
 
-    Equal beginnings and ends are matched first. Of several optimal alignments
-    of the rest the back-trace prefers a match or substitution over a deletion
-    over an insertion.
+
+def align(refs: list[list], hyps: list[list]) -> np.ndarray:
+    """(hits, substitutions, deletions, insertions) per pair, of the alignment with the fewest errors and then the fewest insertions.
+
+    This fixes all four numbers, whatever path an alignment takes. The pairs
+    of a block are worked on together, one row of all their tables at a time,
+    so a table is never held as a whole.
     """
-    if ref == hyp:
-        return len(ref), 0, 0, 0
-    shorter, same = min(len(ref), len(hyp)), 0
-    while same < shorter and ref[same] == hyp[same]:
-        same += 1
-    tail = 0
-    while tail < shorter - same and ref[-1 - tail] == hyp[-1 - tail]:
-        tail += 1
-    ref, hyp = ref[same : len(ref) - tail], hyp[same : len(hyp) - tail]
-    n, m = len(ref), len(hyp)
-    if not n or not m:
-        return same + tail, 0, n, m
+    out = np.zeros((len(refs), 4), np.int64)
     codes: dict = {}
-    a = np.array([codes.setdefault(x, len(codes)) for x in ref], dtype=np.int64)
-    b = np.array([codes.setdefault(x, len(codes)) for x in hyp], dtype=np.int64)
-    steps = np.arange(m + 1)
-    d = np.empty((n + 1, m + 1), dtype=np.int32)
-    d[0] = steps
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, dtype=np.int64)
-        row[0] = i
-        row[1:] = np.minimum(d[i - 1, 1:] + 1, d[i - 1, :-1] + (b != a[i - 1]))
-        # insertions along the row: a running minimum of value minus column
-        d[i] = np.minimum.accumulate(row - steps) + steps
-    d, a, b = d.tolist(), a.tolist(), b.tolist()
-    i, j, h, s, de, ins = n, m, same + tail, 0, 0, 0
-    while i or j:
-        if i and j and d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            h, s = (h + 1, s) if a[i - 1] == b[j - 1] else (h, s + 1)
-            i, j = i - 1, j - 1
-        elif i and d[i][j] == d[i - 1][j] + 1:
-            de, i = de + 1, i - 1
+    rest = []
+    for k, (r, h) in enumerate(zip(refs, hyps)):
+        if r == h:
+            out[k, 0] = len(r)
         else:
-            ins, j = ins + 1, j - 1
-    return h, s, de, ins
+            rest.append(k)
+    rest.sort(key=lambda k: (len(hyps[k]), len(refs[k])))
+    at = 0
+    while at < len(rest):
+        width = len(hyps[rest[at]]) + 1
+        end = at + 1
+        while end < len(rest) and (end - at + 1) * (len(hyps[rest[end]]) + 1) <= _CELLS and len(hyps[rest[end]]) <= 1.25 * width + 8:
+            end += 1
+        block = rest[at:end]
+        at = end
+        n = np.array([len(refs[k]) for k in block])
+        m = np.array([len(hyps[k]) for k in block])
+        a, b = np.full((len(block), n.max()), -1, np.int32), np.full((len(block), m.max()), -2, np.int32)
+        for row, k in enumerate(block):
+            a[row, : n[row]] = [codes.setdefault(x, len(codes)) for x in refs[k]]
+            b[row, : m[row]] = [codes.setdefault(x, len(codes)) for x in hyps[k]]
+        inserted = np.arange(m.max() + 1, dtype=np.int64) * (_ERROR + 1)
+        d = np.repeat(inserted[None, :], len(block), axis=0)
+        rows = np.arange(len(block))
+        cost = np.where(n == 0, d[rows, m], 0)
+        for i in range(n.max()):
+            new = d + _ERROR
+            np.minimum(new[:, 1:], d[:, :-1] + np.where(b == a[:, i : i + 1], 0, _ERROR), out=new[:, 1:])
+            # insertions along the row: a running minimum of what is left without them
+            d = np.minimum.accumulate(new - inserted, axis=1) + inserted
+            done = n == i + 1
+            if done.any():
+                cost[done] = d[rows[done], m[done]]
+        errors, ins = cost // _ERROR, cost % _ERROR
+        deleted = ins + n - m
+        replaced = errors - deleted - ins
+        out[block] = np.stack([n - replaced - deleted, replaced, deleted, ins], axis=1)
+    return out
 
 
 def _counts(split) -> object:
     @F.pandas_udf(COUNTS)
     def count(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-        rows = [(None,) * 4 if r is None or h is None else align(split(r), split(h)) for r, h in zip(ref, hyp)]
-        return pd.DataFrame(rows, columns=["hits", "substitutions", "deletions", "insertions"], dtype="Int64")
+        known = (ref.notna() & hyp.notna()).to_numpy()
+        out = pd.DataFrame(np.zeros((len(ref), 4), np.int64), columns=COUNTS.names, dtype="Int64")
+        out.loc[known] = align([split(x) for x in ref[known]], [split(x) for x in hyp[known]])
+        out.loc[~known] = pd.NA
+        return out
 
     return count
 
@@ -68,12 +82,25 @@ char_counts = _counts(list)
 word_counts = _counts(str.split)
 
 
+def errors_of(counts: Column) -> Column:
+    return counts["substitutions"] + counts["deletions"] + counts["insertions"]
+
+
+def total_of(counts: Column, normalise: bool = True) -> Column:
+    """Length of the reference; normalised rates add the insertions, so that they never exceed 1."""
+    length = counts["hits"] + counts["substitutions"] + counts["deletions"]
+    return length + counts["insertions"] if normalise else length
+
+
+def row_rate(counts: Column, normalise: bool = True) -> Column:
+    """The rate of one row; null where both texts are empty."""
+    return F.try_divide(errors_of(counts), total_of(counts, normalise))
+
+
 def error_rate(counts: str | None = None, normalise: bool = True) -> Column:
     """Corpus rate from columns of counts: the sum of errors over the sum of lengths, null for no length."""
-    c = (lambda x: F.col(f"{counts}.{x}")) if counts else F.col
-    errors = c("substitutions") + c("deletions") + c("insertions")
-    length = c("hits") + c("substitutions") + c("deletions")
-    return F.try_divide(F.sum(errors), F.sum(length + c("insertions") if normalise else length))
+    c = F.col(counts) if counts else F.struct(*COUNTS.names)
+    return F.try_divide(F.sum(errors_of(c)), F.sum(total_of(c, normalise)))
 
 
 def raw_character_rate(ref: Column, hyp: Column) -> Column:

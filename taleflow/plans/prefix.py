@@ -34,3 +34,14 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, tie: list[str], value
     cond = [df[k].eqNullSafe(bases[k]) for k in [*keys, b]]
     joined = df.join(bases, cond, "left")
     return joined.select(*[df[c] for c in df.columns if c not in (b, "__in")], (F.col("__in") + bases[base]).alias(out), *([bases[total]] if total else []))
+
+
+def dense_numbers(df: DataFrame, part: str, within: str, out: str) -> DataFrame:
+    """Numbers from 1 over ordered parts: ``within`` rises by one from row to row of a part. Both columns are dropped.
+
+    Only one small row per part is sorted.
+    """
+    sizes = df.groupBy(part).agg(F.count("*").alias("__n"), F.min(within).alias("__least"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(part, F.col("__least"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return df.join(before, part).withColumn(out, F.col("__before") + F.col(within) - F.col("__least") + 1).drop(part, within, "__least", "__before")

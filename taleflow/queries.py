@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import audio, demographics, metrics, numerals, text
-from .operators import builds, collate, corpus, cube, filters, speaker_splits
+from .operators import builds, collate, corpus, cube, filters, pipelines, speaker_splits
+from .operators.pipelines import CleanSpec, Corpus
 from .operators.utterances import file_periods, id_parts, recording_file
 from .plans.registry import Registry
 from .sources import readers, sinks
@@ -66,24 +67,43 @@ query("clean_native", f"select doc_id, {_sql_clean('text', _KEEP.replace(chr(39)
 query("clean_nfkc")(lambda s, d: table(s, d, "documents").select("doc_id", text.clean(F.col("text"), keep=_KEEP, nfkc=True).alias("clean_text")))
 
 
-@query("numerals_in_text")
-def _numerals_in_text(s, d):
-    t = numerals.with_words(table(s, d, "documents").select("doc_id", "text"))
-    return t.select("doc_id", numerals.verbalise(F.col("text"), F.col("number_words")).alias("spoken"))
-
-
-_NUMBERS = """
-with u as (select ['nul','en','to','tre','fire','fem','seks','syv','otte','ni','ti','elleve','tolv','tretten','fjorten','femten','seksten','sytten','atten','nitten'] a,
+_WORDS = """
+u as (select ['nul','en','to','tre','fire','fem','seks','syv','otte','ni','ti','elleve','tolv','tretten','fjorten','femten','seksten','sytten','atten','nitten'] a,
   ['','','tyve','tredive','fyrre','halvtreds','tres','halvfjerds','firs','halvfems'] t),
 h as (select n, case when n < 20 then a[n + 1] when n % 10 = 0 then t[n // 10 + 1] else a[n % 10 + 1] || 'og' || t[n // 10 + 1] end w from u, range(100) r(n)),
 k as (select n.n, case when n.n < 100 then h.w else (case when n.n // 100 = 1 then 'et' else a[n.n // 100 + 1] end) || ' hundrede' || (case when n.n % 100 = 0 then '' else ' og ' || h.w end) end w
-  from range(1000) n(n) join h on h.n = n.n % 100, u),
-z as (select distinct o_orderkey v, o_orderkey // 1000000 m, (o_orderkey // 1000) % 1000 k, o_orderkey % 1000 u, o_orderkey % 1000000 low from orders),
+  from range(1000) n(n) join h on h.n = n.n % 100, u)
+"""
+_SPELL = """
+z as (select v, v // 1000000 m, (v // 1000) % 1000 k, v % 1000 u, v % 1000000 low from values_),
 j as (select z.*, km.w wm, kk.w wk, ku.w wu from z join k km on km.n = z.m join k kk on kk.n = z.k join k ku on ku.n = z.u),
-l as (select *, case when k > 0 then (case when k = 1 then 'et' else wk end) || ' tusind' || (case when u = 0 then '' when u < 100 then ' og ' || wu else ' ' || wu end) else wu end lw from j)
-select v as o_orderkey, case when v = 100 then 'hundrede' when v = 1000 then 'tusind' when v < 1000000 then lw
-  else wm || (case when m = 1 then ' million' else ' millioner' end) || (case when low = 0 then '' when low < 100 then ' og ' || lw else ' ' || lw end) end as spoken from l
+l as (select *, case when k > 0 then (case when k = 1 then 'et' else wk end) || ' tusind' || (case when u = 0 then '' when u < 100 then ' og ' || wu else ' ' || wu end) else wu end lw from j),
+spelt as (select v, case when v = 100 then 'hundrede' when v = 1000 then 'tusind' when v < 1000000 then lw
+  else wm || (case when m = 1 then ' million' else ' millioner' end) || (case when low = 0 then '' when low < 100 then ' og ' || lw else ' ' || lw end) end w from l)
 """
+_NUMBERS = f"with {_WORDS}, values_ as (select distinct o_orderkey v from orders), {_SPELL} select v as o_orderkey, w as spoken from spelt"
+
+
+def _sql_verbalised(source: str) -> str:
+    """CTEs that turn the rows (id, t) of ``source`` into ``verbal`` (id, t), every numeral in words."""
+    pattern = r"\b(0|[1-9]\d{0,2}(?:(?:\.\d{3})*|\d*)(?:,\d+)?)\b"
+    return rf"""{_WORDS},
+    found as (select id, t, regexp_extract_all(t, '{pattern}') n, string_split_regex(t, '{pattern}') g from {source}),
+    forms as (select n, replace(split_part(n, ',', 1), '.', '') whole, split_part(n, ',', 2) dec from (select distinct unnest(n) n from found)),
+    values_ as (select distinct cast(whole as bigint) v from forms where length(whole) <= 9), {_SPELL},
+    said as (select n, coalesce(spelt.w, whole) || case when dec = '' then '' else ' komma ' || array_to_string(list_transform(string_split(dec, ''), lambda d: case when d = '1' then 'et' else a[cast(d as int) + 1] end), ' ') end w
+      from forms left join spelt on length(whole) <= 9 and spelt.v = try_cast(whole as bigint), u),
+    spread as (select id, unnest(g) g, unnest(range(len(g))) i, unnest(list_resize(n, len(g))) n from found),
+    verbal as (select s.id, string_agg(s.g || coalesce(said.w, ''), '' order by s.i) t from spread s left join said using (n) group by 1)"""
+
+
+_NUMERALS = f"with src as (select doc_id id, text t from documents where text is not null), {_sql_verbalised('src')} select doc_id, verbal.t as spoken from documents left join verbal on doc_id = id"
+
+
+@query("numerals_in_text", _NUMERALS)
+def _numerals_in_text(s, d):
+    t = numerals.with_words(table(s, d, "documents").select("doc_id", "text"))
+    return t.select("doc_id", numerals.verbalise(F.col("text"), F.col("number_words")).alias("spoken"))
 
 
 @query("numerals_to_words", _NUMBERS)
@@ -319,72 +339,151 @@ query("utterance_ids", r"select split, count(distinct upper(regexp_replace(regex
 
 # ---------------------------------------------------------------- error rates and scores
 
-_PLAIN = "regexp_replace(translate(lower({}), 'æøåé', '{{}}~e'), '[^ -~]', '?', 'g')"
-
-
-def _ascii(c):
-    # one ASCII character per character: the SQL engine's edit distance counts bytes
-    return F.regexp_replace(F.translate(F.lower(c), "æøåé", "{}~e"), "[^ -~]", "?")
-
+# one ASCII character for each other letter that occurs: the SQL engine's edit distance counts bytes
+_PLAIN = r"translate({}, 'æøåéüöäñ–«»’', '{{}}~^`\\|@#$%&')"
 
 query(
     "cer_raw",
-    f"""with p as (select source, {_PLAIN.format('coalesce(text, sentence)')} r, {_PLAIN.format('asr_prediction')} h from samples where asr_prediction is not null and coalesce(text, sentence) is not null)
+    f"""with p as (select source, {_PLAIN.format('lower(coalesce(text, sentence))')} r, {_PLAIN.format('lower(asr_prediction)')} h from samples where asr_prediction is not null and coalesce(text, sentence) is not null)
     select source, count(*) as n, round(sum(levenshtein(r, h)) / sum(length(r)), 9) as cer from p group by 1""",
 )(
-    lambda s, d: table(s, d, "samples").select("source", _ascii(F.coalesce("text", "sentence")).alias("r"), _ascii(F.col("asr_prediction")).alias("h")).filter("r is not null and h is not null")
+    lambda s, d: table(s, d, "samples").select("source", F.lower(F.coalesce("text", "sentence")).alias("r"), F.lower("asr_prediction").alias("h")).filter("r is not null and h is not null")
     .groupBy("source").agg(F.count("*").alias("n"), F.round(metrics.raw_character_rate(F.col("r"), F.col("h")), 9).alias("cer"))
 )
 
+_ERR = 1 << 31
+
 
-@query("error_rates")
+def _sql_aligned(source: str, keys: str) -> str:
+    """CTEs: the rows (keys, r, h) of ``source`` as ``aligned``, with errors, insertions and reference length of characters (c) and words (w).
+
+    A row of the distance table per step of a recursion, for all distinct pairs at once.
+    """
+    step = f"[least(x[j + 1] + {_ERR}, x[j] + case when a[i + 1] = b[j] then 0 else {_ERR} end)]"
+    row = f"list_reduce(list_prepend([x[1] + {_ERR}], list_transform(range(1, len(b) + 1), lambda j: {step})), lambda c, y: list_append(c, least(y[1], c[len(c)] + {_ERR + 1})))"
+    return rf"""pair as (select r, h, row_number() over () p from (select distinct r, h from {source})),
+    unit as (select 2 * p q, case when r = '' then [] else string_split(r, '') end a, case when h = '' then [] else string_split(h, '') end b from pair
+      union all select 2 * p + 1, list_filter(regexp_split_to_array(r, '[\s\x{{a0}}]+'), lambda x: x <> ''), list_filter(regexp_split_to_array(h, '[\s\x{{a0}}]+'), lambda x: x <> '') from pair),
+    dp(q, i, x) as (select q, 0, list_transform(range(0, len(b) + 1), lambda j: j * {_ERR + 1}) from unit
+      union all select dp.q, i + 1, {row} from dp join unit using (q) where i < len(a)),
+    cost as (select q, x[len(x)] // {_ERR} e, x[len(x)] % {_ERR} ins, len(a) n from dp join unit using (q) where i = len(a)),
+    aligned as (select {keys}, c.e ce, c.ins ci, c.n cn, w.e we, w.ins wi, w.n wn from {source} join pair using (r, h) join cost c on c.q = 2 * p join cost w on w.q = 2 * p + 1)"""
+
+
+_LOWER_STRIP = "lower(" + _STRIP + ")"
+
+
+@query(
+    "error_rates",
+    f"""with recursive src as (select source, {_LOWER_STRIP.format('coalesce(text, sentence)')} r, {_LOWER_STRIP.format('asr_prediction')} h from samples where asr_prediction is not null and coalesce(text, sentence) is not null),
+    {_sql_aligned('src', 'source')}
+    select source, count(*) as n, round(sum(ce) / nullif(sum(cn + ci), 0), 9) as cer, round(sum(we) / nullif(sum(wn + wi), 0), 9) as wer, round(sum(we) / nullif(sum(wn), 0), 9) as wer_raw from aligned group by 1""",
+)
 def _error_rates(s, d):
     r = table(s, d, "samples").select("source", F.lower(text.strip(F.coalesce("text", "sentence"))).alias("r"), F.lower(text.strip(F.col("asr_prediction"))).alias("h")).filter("r is not null and h is not null")
     r = r.select("source", metrics.char_counts("r", "h").alias("c"), metrics.word_counts("r", "h").alias("w"))
-    return r.groupBy("source").agg(metrics.error_rate("c").alias("cer"), metrics.error_rate("w").alias("wer"), metrics.error_rate("w", normalise=False).alias("wer_raw"), F.count("*").alias("n"))
+    rates = {"cer": metrics.error_rate("c"), "wer": metrics.error_rate("w"), "wer_raw": metrics.error_rate("w", normalise=False)}
+    return r.groupBy("source").agg(F.count("*").alias("n"), *[F.round(v, 9).alias(k) for k, v in rates.items()])
 
 
-_CATEGORIES = ["age_group", "gender", "dialect"]
-_CUBE_ROWS = """
-m as (select sub_dialect, dialect d from dialect_map),
-s as (select case when age >= 0 and age < 25 then '0-25' when age >= 25 and age < 50 then '25-50' when age >= 50 then '50+' end age_group, gender,
-  case when coalesce(country_birth, 'DK') <> 'DK' then 'Non-native' else m.d end dialect, source, asr_cer, asr_wer from samples left join m on samples.dialect = m.sub_dialect where asr_cer is not null)
-"""
-_CUBE_CELLS = """
-c as (select age_group a, gender g, dialect d, grouping_id(age_group, gender, dialect) i, count(*) n, sum(asr_cer) cer, sum(asr_wer) wer from s group by cube (age_group, gender, dialect)),
-k as (select * from c where (i & 4 > 0 or a is not null) and (i & 2 > 0 or g is not null) and (i & 1 > 0 or d is not null)),
-j as (select k.*, p0.n n0, p1.n n1, p2.n n2 from k join k p0 on p0.i = 7
-  join k p1 on p1.i = (k.i | 3) and p1.a is not distinct from k.a
-  join k p2 on p2.i = (k.i | 1) and p2.a is not distinct from k.a and p2.g is not distinct from k.g)
-"""
+_SPEC = CleanSpec(keep=_KEEP)
+_KEEP_SQL = _KEEP.replace(chr(39), chr(39) * 2)
+
 
+def _sql_scored(where: str = "true") -> str:
+    """CTEs up to ``aligned``: id_recording, categories, source, role and counts of the cleaned texts of samples."""
+    return rf"""
+m as (select sub_dialect, min(dialect) d from dialect_map group by 1),
+base as (select row_number() over () k, samples.*, case when age >= 0 and age < 25 then '0-25' when age >= 25 and age < 50 then '25-50' when age >= 50 then '50+' end age_group,
+  case when coalesce(country_birth, 'DK') <> 'DK' then 'Non-native' else m.d end main from samples left join m on samples.dialect = m.sub_dialect where {where}),
+raw as (select 2 * k id, text t from base where text is not null and asr_prediction is not null union all select 2 * k + 1, asr_prediction from base where text is not null and asr_prediction is not null),
+{_sql_verbalised('raw')},
+clean as (select id, {_sql_clean('t', _KEEP_SQL)} t from verbal),
+src as (select base.*, coalesce(r.t, '') r, coalesce(h.t, '') h from base join clean r on r.id = 2 * k join clean h on h.id = 2 * k + 1),
+{_sql_aligned('src', "src.id_recording, src.age_group, src.gender, src.main dialect, src.source, src.split, r, h")}"""
 
-def _scored(s, d):
-    r = demographics.main_dialect(table(s, d, "samples").filter("asr_cer is not null"), table(s, d, "dialect_map"))
-    return r.withColumn("age_group", demographics.evaluation_age_group(F.col("age"))).select(*_CATEGORIES, "source", "asr_cer", "asr_wer")
 
+_CATEGORIES = list(pipelines.CATEGORIES)
+_CUBE_CELLS = """
+c as (select age_group a, gender g, dialect d, grouping_id(age_group, gender, dialect) i, count(*) n, sum(ce) ce, sum(cn + ci) ct, sum(we) we, sum(wn + wi) wt from aligned group by cube (age_group, gender, dialect)),
+k2 as (select * from c where (i & 4 > 0 or a is not null) and (i & 2 > 0 or g is not null) and (i & 1 > 0 or d is not null)),
+j2 as (select k2.*, p0.n n0, p1.n n1, p2.n n2 from k2 join k2 p0 on p0.i = 7
+  join k2 p1 on p1.i = (k2.i | 3) and p1.a is not distinct from k2.a
+  join k2 p2 on p2.i = (k2.i | 1) and p2.a is not distinct from k2.a and p2.g is not distinct from k2.g)
+"""
 
 query(
     "score_cube",
-    f"with {_CUBE_ROWS}, {_CUBE_CELLS} select a as age_group, g as gender, d as dialect, n as n_rows, round(cer / n, 9) as cer, round(wer / n, 9) as wer from j where (i & 4 > 0 or n1 < n0) and (i & 2 > 0 or n2 < n1) and (i & 1 > 0 or n < n2)",
+    f"with recursive {_sql_scored()}, {_CUBE_CELLS} select a as age_group, g as gender, d as dialect, n as n_rows, round(ce / nullif(ct, 0), 9) as cer, round(we / nullif(wt, 0), 9) as wer from j2 where (i & 4 > 0 or n1 < n0) and (i & 2 > 0 or n2 < n1) and (i & 1 > 0 or n < n2)",
+)(
+    lambda s, d: pipelines.evaluate(table(s, d, "samples"), table(s, d, "dialect_map"), _SPEC)
+    .select(*_CATEGORIES, "n_rows", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"))
+)
+query(
+    "validation",
+    f"""with recursive {_sql_scored(f"length({_STRIP.format('text')}) > 0 and validated is distinct from 'rejected'")}
+    select id_recording, h as asr_prediction, r as asr_label, 'model' as asr_validation_model, round(ce / nullif(cn + ci, 0), 9) as asr_cer, round(we / nullif(wn + wi, 0), 9) as asr_wer from aligned where ce / nullif(cn + ci, 0) < 0.6""",
 )(
-    lambda s, d: cube.pruned_cube(_scored(s, d), _CATEGORIES, {"c": "asr_cer", "w": "asr_wer"})
-    .select(*_CATEGORIES, "n_rows", F.round(F.col("c") / F.col("n_rows"), 9).alias("cer"), F.round(F.col("w") / F.col("n_rows"), 9).alias("wer"))
+    lambda s, d: pipelines.validate(table(s, d, "samples"), _SPEC, "model")
+    .select("id_recording", "asr_prediction", "asr_label", "asr_validation_model", F.round("asr_cer", 9).alias("asr_cer"), F.round("asr_wer", 9).alias("asr_wer"))
 )
 
 
+@query(
+    "validation_counts",
+    f"""with recursive {_sql_scored(f"length({_STRIP.format('text')}) > 0 and validated is distinct from 'rejected'")}
+    select (select count(*) from base) as n_before, count(*) as n_after from aligned where ce / nullif(cn + ci, 0) < 0.6""",
+)
+def _validation_counts(s, d):
+    rows = table(s, d, "samples")
+    return pipelines.removed(pipelines.validate(rows, _SPEC, "model", max_cer=None), pipelines.validate(rows, _SPEC, "model"))
+
+
+_ROLE = "case when lower(trim(split)) like 'train%' then 'train' when lower(trim(split)) like 'val%' or lower(trim(split)) like 'dev%' or lower(trim(split)) like 'test%' then 'eval' end"
+
+
 @query(
     "comparison_table",
-    f"""with {_CUBE_ROWS}, t as (select source, coalesce(gender, 'none') k, split_part(age_group, '-', 1) ds, avg(asr_cer) v from s where age_group is not null group by all),
-    n as (select count(distinct ds) n from t), o as (select source, k, avg(v) mean, count(distinct ds) c from t group by all)
-    select source as model, max(mean) filter (where k = 'male') as male, max(mean) filter (where k = 'female') as female from o, n where c = n group by 1""",
+    f"""with m as (select sub_dialect, min(dialect) d from dialect_map group by 1), s as (select source, {_ROLE} ds, gender, asr_cer from samples where asr_cer is not null and source is not null),
+    t as (select source, ds, 'overall' k, avg(asr_cer) v from s where ds is not null group by all union all select source, ds, gender, avg(asr_cer) from s where ds is not null and gender is not null group by all),
+    n as (select count(distinct ds) n from t), o as (select source, k, avg(v) mean, count(distinct ds) c from t group by all),
+    w as (select source as model, max(mean) filter (where k = 'overall') as overall, max(mean) filter (where k = 'male') as male, max(mean) filter (where k = 'female') as female from o, n where c = n group by 1)
+    select *, cast(row_number() over (order by overall desc nulls last, model) as int) as place from w""",
 )
 def _comparison(s, d):
-    t = _scored(s, d).filter("age_group is not null").groupBy("source", F.coalesce("gender", F.lit("none")).alias("k"), F.substring_index("age_group", "-", 1).alias("ds")).agg(F.avg("asr_cer").alias("v"))
-    o = cube.comparison(t, "source", "ds", "k", "v")
-    w = o.groupBy(F.col("source").alias("model"), "k").agg(F.first("mean").alias("mean"))
-    # every model stays, also one without the two shown groups
-    return w.groupBy("model").pivot("k", ["male", "female"]).agg(F.first("mean"))
+    r = table(s, d, "samples").filter("asr_cer is not null and source is not null").withColumn("ds", F.expr(_ROLE)).filter("ds is not null")
+    # the rows that a comparison shows of each data set's scores: overall, and one category fixed
+    t = r.groupBy("source", "ds").agg(F.lit("overall").alias("k"), F.avg("asr_cer").alias("v")).unionByName(r.filter("gender is not null").groupBy("source", "ds", F.col("gender").alias("k")).agg(F.avg("asr_cer").alias("v")))
+    o = cube.comparison(t, "source", "ds", "k", "v", strict=False)
+    return cube.model_table(o.select(F.col("source").alias("model"), F.col("k").alias("group"), "mean"), "model", ["overall", "male", "female"])
+
+
+query(
+    "selected_scores",
+    """with m as (select sub_dialect, min(dialect) d from dialect_map group by 1),
+    s as (select case when age >= 0 and age < 25 then '0-25' when age >= 25 and age < 50 then '25-50' when age >= 50 then '50+' end a, gender g, case when coalesce(country_birth, 'DK') <> 'DK' then 'Non-native' else m.d end d, asr_cer from samples left join m on samples.dialect = m.sub_dialect where asr_cer is not null),
+    n as (select count(*) n from s), k as (select 'overall' as "group", count(*) as n_rows, sum(asr_cer) c from s union all select a, count(*), sum(asr_cer) from s where a is not null group by 1 union all select g, count(*), sum(asr_cer) from s where g is not null group by 1 union all select d, count(*), sum(asr_cer) from s where d is not null group by 1)
+    select "group", n_rows, round(c, 6) as cer_sum from k, n where "group" = 'overall' or n_rows < n""",
+)(
+    lambda s, d: cube.selected_scores(cube.pruned_cube(pipelines.with_groups(table(s, d, "samples").filter("asr_cer is not null"), table(s, d, "dialect_map")), _CATEGORIES, {"c": "asr_cer"}), _CATEGORIES)
+    .select("group", "n_rows", F.round("c", 6).alias("cer_sum"))
+)
+
+
+@query(
+    "token_error_rates",
+    """with t as (select vec_id, list_transform(range(0, 8), lambda i: list_position(embedding[i * 8 + 1:i * 8 + 8], list_max(embedding[i * 8 + 1:i * 8 + 8])) - 1) k, list_transform(range(0, 6), lambda i: case when (vec_id + i) % 5 = 0 then -100 else (vec_id * (i + 3)) % 8 end) l from embeddings),
+    d as (select array_to_string(list_transform(list_filter(l, lambda x: x not in (-100, 7)), lambda x: ['a','b','c','d','e','f',' ','_'][x + 1]), '') r,
+      array_to_string(list_transform(list_filter(list_transform(range(1, 9), lambda i: case when i > 1 and k[i] = k[i - 1] then null else k[i] end), lambda x: x is not null and x <> 7), lambda x: ['a','b','c','d','e','f',' ','_'][x + 1]), '') h from t)
+    select count(*) as n, round(sum(case when r = '' or h = '' then greatest(length(r), length(h)) else levenshtein(r, h) end) / sum(length(r)), 9) as cer from d""",
+)
+def _token_error_rates(s, d):
+    r = table(s, d, "embeddings").select(
+        F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8)).alias("scores"),
+        F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.when((F.col("vec_id") + i) % 5 == 0, F.lit(-100)).otherwise((F.col("vec_id") * (i + 3)) % 8).cast("int")).alias("labels"),
+    )
+    out = pipelines.token_error_rates(r, "scores", "labels", [*"abcdef", "|", "_"], 7, normalise=False)
+    return out.select("n", F.round("cer", 9).alias("cer"))
 
 
 query("worst_samples", "select id_recording, asr_cer from (select distinct id_recording, asr_cer from samples where asr_cer is not null) order by asr_cer desc, id_recording limit 100")(

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.audio import decode_wav
-from ..functions.text import parse_dataset_name
+from ..functions.text import parse_dataset_name, strip
+from ..plans.prefix import dense_numbers
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
@@ -24,8 +29,8 @@ def read_splits_tsv(spark: SparkSession, paths: dict[str, str], schema: str) ->
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Stripped lines of one file with dense numbers from 1: line_no, line."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0].strip()))
-    return spark.createDataFrame(lines, "line_no long, line string")
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("line"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    return dense_numbers(lines, "__block", "__id", "line_no").select("line_no", "line")
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -55,6 +60,39 @@ def read_wavs(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(stem(F.col("path")).alias("stem"), decode_wav("content").alias("a")).select("stem", "a.*")
 
 
+def path_parts(path: Column) -> dict[str, Column]:
+    """split (the folder train, val or test, lower case), stem and all suffixes of a file's path in an unpacked archive."""
+    folder = F.lower(F.regexp_extract(path, r"(?i)/(train|val|test)[^/]*/(?:.*/)?[^/]*$", 1))
+    return {"split": F.nullif(folder, F.lit("")), "stem": F.regexp_extract(path, r"([^/.][^/.]*)[^/]*$", 1), "suffix": suffix(path)}
+
+
+def read_sql(spark: SparkSession, folder: str, query: str) -> DataFrame:
+    """A SQL text over the Parquet tables of a folder, each a temporary view of its name."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    base = fs.Path(folder)
+    for status in base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base):
+        name = status.getPath().getName()
+        if name.endswith(".parquet"):
+            spark.read.parquet(f"{folder.rstrip('/')}/{name}").createOrReplaceTempView(name.removesuffix(".parquet"))
+    return spark.sql(query)
+
+
+def cached(spark: SparkSession, root: str, inputs: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stored result, built and written on the first use: keyed by a hash of all inputs, so no other result can be taken for it.
+
+    ``inputs`` names everything the result depends on (data set, subset,
+    revision, split, filters, cleaner, ...), as JSON values or as what their
+    ``repr`` says. A result that was only written in part is built again.
+    """
+    key = hashlib.md5(json.dumps(inputs, sort_keys=True, default=repr).encode()).hexdigest()
+    path = f"{root.rstrip('/')}/{key}"
+    fs = spark._jvm.org.apache.hadoop.fs
+    done = fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_dataset(spark: SparkSession, root: str, name: str, split: str) -> DataFrame:
     """A data set by ``id[::subset][@revision]`` below ``root``; falls back to split train, then to the whole folder."""
     ident, subset, revision = parse_dataset_name(name)

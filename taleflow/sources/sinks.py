@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.audio import encode_wav
+
 
 def write_dataset(df: DataFrame, path: str, max_records: int = 1_000_000) -> None:
     """One folder per split, files of bounded size."""
@@ -23,6 +27,33 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_metadata(df: DataFrame, path: str) -> None:
+    """Metadata of a data set as CSV files with header, one per task."""
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def write_clips(df: DataFrame, folder: str, name: str = "name", array: str = "array", rate: int = 16_000) -> None:
+    """One WAV file per row in a folder that all executors share; a clip written twice replaces itself."""
+    encoded = df.select(name, encode_wav(rate)(array).alias("__wav")).filter(F.col("__wav").isNotNull())
+
+    def write(batches):
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        n = 0
+        for batch in batches:
+            for stem, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # whole or not at all, also where a task is run twice
+                part = os.path.join(folder, f".{stem}.{uuid.uuid4().hex}")
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, os.path.join(folder, f"{stem}.wav"))
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    encoded.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def write_sentences(df: DataFrame, text: str, path: str) -> None:
     df.select(text).write.mode("overwrite").text(path)
 

@@ -22,13 +22,27 @@ def distance(a, b):
     return d[-1]
 
 
+def fewest(a, b):
+    """(errors, insertions) by the definition, cell by cell."""
+    d = [(j, j) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        p = [(i, 0)]
+        for j, y in enumerate(b, 1):
+            p.append(min((d[j][0] + 1, d[j][1]), (p[-1][0] + 1, p[-1][1] + 1), (d[j - 1][0] + (x != y), d[j - 1][1])))
+        d = p
+    return d[-1]
+
+
 def test_alignment_counts():
     rng = random.Random(3)
-    for _ in range(200):
-        a, b = (["abc"[rng.randrange(3)] for _ in range(rng.randrange(9))] for _ in range(2))
-        h, s, d, i = metrics.align(a, b)
-        assert s + d + i == distance(a, b) and h + s + d == len(a) and h + s + i == len(b)
-    assert metrics.align(list("ab"), list("ba")) == (0, 2, 0, 0)
+    pairs = [tuple(["abc"[rng.randrange(3)] for _ in range(rng.randrange(9))] for _ in range(2)) for _ in range(400)] + [(list("ab"), list("ba")), ([], []), ([], list("ab")), (list("ab"), [])]
+    got = metrics.align(*map(list, zip(*pairs)))
+    for (a, b), (h, s, d, i) in zip(pairs, got.tolist()):
+        assert (s + d + i, i) == fewest(a, b) and s + d + i == distance(a, b) and h + s + d == len(a) and h + s + i == len(b) and min(h, s, d, i) >= 0
+    assert got[400].tolist() == [0, 2, 0, 0]
+    long = metrics.align([list("ab" * 3000)], [list("ba" * 3000)])
+    assert long.tolist() == [[5999, 0, 1, 1]]
+    assert metrics.align([], []).shape == (0, 4)
 
 
 def test_error_rates(spark):
