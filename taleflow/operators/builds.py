@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.audio import time_slice
 from ..functions.demographics import safe_int
 from ..functions.text import blank_to_null, original_filename, strip, strip_unknown
 from ..plans.prefix import dense_numbers
@@ -56,6 +57,18 @@ def conversation_segments(events: DataFrame, conversations: DataFrame, speakers:
     return out.select("id_conversation", "location", "location_roomdim", "noise_level", "noise_type", "id_speaker", "age", "gender", "dialect", "country_birth", "education", "occupation", F.col("event_no").alias("id_segment"), strip(F.col("text")).alias("text"), "start_ms", "end_ms")
 
 
+def with_clips(segments: DataFrame, recordings: DataFrame, rate: int, key: str = "stem") -> DataFrame:
+    """Segments (key, start_ms, end_ms) with their slice of the recording (key, array) as ``audio``; segments without one are dropped.
+
+    The waveforms are the large side: segments of one recording are put
+    together first, so that each waveform is moved once and sliced in place.
+    """
+    own = [c for c in segments.columns if c != key]
+    grouped = segments.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("__s"))
+    out = grouped.join(recordings.select(key, "array"), key).select(key, F.explode(F.transform("__s", lambda x: F.struct(x.alias("s"), time_slice(F.col("array"), x["start_ms"], x["end_ms"], rate).alias("audio")))).alias("__x"))
+    return out.select(key, "__x.s.*", "__x.audio")
+
+
 def parliament(utterances: DataFrame, folder: str = "processed_audio") -> DataFrame:
     """Utterances with cleaned text, speaker, source file, slice bounds and path; empty transcripts stay empty."""
     u = one_per(utterances, "utterance_id")

@@ -252,29 +252,33 @@ query("missing_files", _STEMS + "select utterance_id from u where utterance_id n
 
 
 @query(
-    "index_join",
-    """with l as (select row_number() over (order by item_id) n, item_id from eval_items), f as (select distinct user_id % 3 = 0 mic, user_id::int id from events),
-    g as (select mic, case when mic and id >= 100 then id - 7 else id end id from f), h as (select mic, case when mic and id >= 150 then id + 1 else id end id from g)
-    select case when mic then 'mic' else 'spk' end as speaker_id, h.id as transcription_id, l.item_id from h join l on l.n = h.id where h.id >= 0""",
+    "key_join_tiebreak",
+    """with f as (select distinct strftime(ts, '%H%M') k, event_type || '_' || event_id file from events), r as (select id_recording, strftime(recorded_at, '%H%M') k from samples),
+    g as (select k, arg_min(file, md5(file || '4242')) file, count(*) n from f group by 1) select r.id_recording, g.file, g.n as n_files from r left join g using (k)""",
 )
-def _index_join(s, d):
-    lines = table(s, d, "eval_items").select(F.row_number().over(Window.orderBy("item_id")).alias("n"), "item_id")  # a fixed table of 300
-    f = table(s, d, "events").select((F.col("user_id") % 3 == 0).alias("mic"), F.col("user_id").cast("int").alias("id")).distinct()
-    f = f.withColumn("id", F.when(F.col("mic") & (F.col("id") >= 100), F.col("id") - 7).otherwise(F.col("id")))
-    f = f.withColumn("id", F.when(F.col("mic") & (F.col("id") >= 150), F.col("id") + 1).otherwise(F.col("id")))
-    return f.filter("id >= 0").join(lines, F.col("id") == F.col("n")).select(F.when(F.col("mic"), "mic").otherwise("spk").alias("speaker_id"), F.col("id").alias("transcription_id"), "item_id")
+def _key_join(s, d):
+    f = table(s, d, "events").select(F.date_format("ts", "HHmm").alias("key"), F.concat_ws("_", "event_type", F.col("event_id").cast("string")).alias("file")).distinct()
+    r = table(s, d, "samples").select("id_recording", F.date_format("recorded_at", "HHmm").alias("hhmm"))
+    return builds.match_by_name(r, "hhmm", f, "file").select("id_recording", "file", "n_files")
 
 
-@query(
-    "key_join_tiebreak",
-    """with f as (select strftime(ts, '%H%M') k, event_id from events), r as (select id_recording, strftime(recorded_at, '%H%M') k from samples),
-    g as (select k, min(event_id) file, count(*) n from f group by 1) select r.id_recording, g.file, g.n as n_files from r left join g using (k)""",
+query("files_without_rows", _STEMS + "select '/lyd/' || utterance_id || '.wav' as path from u where utterance_id not in (select utterance_id from e where utterance_id is not null)")(
+    lambda s, d: _stems(s, d).select(F.concat(F.lit("/lyd/"), "utterance_id", F.lit(".wav")).alias("path"), "utterance_id")
+    .join(table(s, d, "utterances").filter("transcript is not null and transcript <> ''").select("utterance_id"), "utterance_id", "left_anti").select("path")
+)
+_SQL_SCAN = "select t.location, count(distinct t.id_conversation) as n from conversation_meta t where t.id_speaker_a in (select id_speaker from speakers) group by t.location"
+query("sql_scan", _SQL_SCAN)(lambda s, d: readers.read_sql(s, d, _SQL_SCAN))
+query(
+    "file_paths",
+    r"""with p as (select distinct '/arkiv/' || coalesce(split, 'x') || '_da/lyd/' || replace(replace(utterance_id, ' ', ''), '.', '') || '.tar.gz' path from utterances where utterance_id is not null)
+    select path, nullif(lower(regexp_extract(path, '(?i)/(train|val|test)[^/]*/(?:.*/)?[^/]*$', 1)), '') as split, regexp_extract(path, '([^/.]+)[^/]*$', 1) as stem, '.tar.gz' as suffix from p""",
+)(
+    lambda s, d: table(s, d, "utterances").filter("utterance_id is not null").select(F.concat(F.lit("/arkiv/"), F.coalesce("split", F.lit("x")), F.lit("_da/lyd/"), F.translate("utterance_id", " .", ""), F.lit(".tar.gz")).alias("path")).distinct()
+    .select("path", *[c.alias(k) for k, c in readers.path_parts(F.col("path")).items()])
+)
+query("validation_split_names", "select distinct 'val_' || lower(replace(event_type, '-', '_')) || '_del_' || (user_id % 5) as name from events")(
+    lambda s, d: table(s, d, "events").select(pipelines.validation_split_name(F.concat(F.lit("hus/"), "event_type"), F.concat(F.lit("Del-"), (F.col("user_id") % 5).cast("string"))).alias("name")).distinct()
 )
-def _key_join(s, d):
-    f = table(s, d, "events").select(F.date_format("ts", "HHmm").alias("key"), "event_id")
-    r = table(s, d, "samples").select("id_recording", F.date_format("recorded_at", "HHmm").alias("key"))
-    one = f.groupBy("key").agg(F.min("event_id").alias("file"), F.count("*").alias("n_files"))
-    return r.join(one, "key", "left").select("id_recording", "file", "n_files")
 
 
 @query("set_operations", "select 'union' as op, count(*) as n from (select id_speaker from speakers union select speaker_id from samples) union all select 'intersect', count(*) from (select id_speaker from speakers intersect select speaker_id from samples) union all select 'except', count(*) from (select id_speaker from speakers except select speaker_id from samples)")
@@ -329,10 +333,53 @@ select id_conversation, location, id_speaker, dialect, start_ms, end_ms, {_STRIP
 )
 query(
     "parliament_build",
-    rf"""select distinct utterance_id, upper(split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 1)) as speaker_id,
-    upper(split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 2) || '_' || split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 3)) as src_fname,
-    'processed_audio/' || utterance_id || '.wav' as audio_path from utterances""",
-)(lambda s, d: builds.parliament(table(s, d, "utterances")).select("utterance_id", "speaker_id", "src_fname", "audio_path"))
+    rf"""with u as (select *, regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g') i from utterances
+      qualify row_number() over (partition by utterance_id order by transcript nulls first, start_time nulls first, end_time nulls first, split nulls first) = 1)
+    select utterance_id, upper(split_part(i, '_', 1)) as speaker_id, upper(split_part(i, '_', 2) || '_' || split_part(i, '_', 3)) as src_fname, {_STRIP.format("replace(transcript, '<UNK>', '')")} as text,
+    case when not isnan(start_time) then cast(round(start_time * 1000) as bigint) end as start_ms, case when not isnan(end_time) then cast(round(end_time * 1000) as bigint) end as end_ms, 'processed_audio/' || utterance_id || '.wav' as audio_path, split from u""",
+)(lambda s, d: builds.parliament(table(s, d, "utterances")))
+
+
+@query(
+    "read_aloud_build",
+    """with p as (select id_speaker, min(occupation) occupation from speakers group by 1), s as (select distinct id_sentence from samples where validated = 'accepted'),
+    f as (select id_recording stem, max('/lyd/' || coalesce(split, 'x') || '/' || id_recording || '.wav') path from samples where noise_type is not null group by 1)
+    select r.id_recording, r.text, p.occupation, f.path as audio_path from samples r join s using (id_sentence) join p on r.speaker_id = p.id_speaker join f on f.stem = r.id_recording""",
+)
+def _read_aloud(s, d):
+    r = table(s, d, "samples")
+    speakers = table(s, d, "speakers").groupBy("id_speaker").agg(F.min("occupation").alias("occupation"))
+    files = r.filter("noise_type is not null").select(F.col("id_recording").alias("stem"), F.concat(F.lit("/lyd/"), F.coalesce("split", F.lit("x")), F.lit("/"), "id_recording", F.lit(".wav")).alias("path"))
+    sentences = r.filter("validated = 'accepted'").select("id_sentence").distinct()
+    return builds.read_aloud(r, sentences, speakers, "id_sentence", "id_speaker", "speaker_id", files, "id_recording").select("id_recording", "text", "occupation", "audio_path")
+
+
+@query(
+    "dictation_build",
+    f"""with r as (select id_recording id, case when text not in ('', '{text.SILENCE}') then text end t, age, recorded_at x, gender, length(source_url) % 20 n from samples),
+    f as (select distinct '/lyd/' || event_type || '/' || strftime(ts, '%H%M') || '-' || (user_id % 20) || '.wav' path, strftime(ts, '%H%M') || '_' || (user_id % 20) k from events),
+    g as (select k, arg_min(path, md5(path || '4242')) path, count(*) n from f group by 1)
+    select id, t as text, age, gender as sex, strftime(x, '%Y-%m-%dT%H:%M:%S') as recording_time, g.path as audio_path, g.n as n_files from r join g on g.k = strftime(x, '%H%M') || '_' || r.n where t is not null and age is not null and gender is not null""",
+)
+def _dictation(s, d):
+    rows = table(s, d, "samples").withColumns({"time": F.date_format("recorded_at", "dd MMM yyyy'T'HH:mm:ss"), "file": F.concat(F.lit("Opt-A_"), (F.length("source_url") % 20).cast("string"), F.lit(".WAV"))})
+    files = table(s, d, "events").select(F.concat(F.lit("/lyd/"), "event_type", F.lit("/"), F.date_format("ts", "HHmm"), F.lit("-"), (F.col("user_id") % 20).cast("string"), F.lit(".wav")).alias("path")).distinct()
+    names = {"id_recording": "id", "text": "text", "age": "age", "gender": "sex", "time": "recorded_at", "file": "file_name"}
+    return builds.dictation(rows, names, files).drop("file_name")
+
+
+@query(
+    "voice_lines",
+    """with l as (select row_number() over (order by item_id) n, text from eval_items), f as (select distinct case when user_id % 3 = 0 then 'mic' else 'spk' end speaker_id, user_id::int id, user_id::int raw from events),
+    g as (select speaker_id, raw, case when speaker_id = 'mic' and id >= 100 then id - 7 else id end id from f), h as (select speaker_id, raw, case when speaker_id = 'mic' and id >= 150 then id + 1 else id end id from g)
+    select speaker_id || '_' || raw as stem, speaker_id, h.id as transcription_id, l.text, row_number() over (order by speaker_id, raw::varchar) as place from h join l on l.n = h.id where h.id >= 0""",
+)
+def _voice_lines(s, d):
+    lines = table(s, d, "eval_items").select(F.row_number().over(Window.orderBy("item_id")).alias("line_no"), F.col("text").alias("line"))  # a fixed table of 300
+    files = table(s, d, "events").select(F.concat(F.when(F.col("user_id") % 3 == 0, "mic").otherwise("spk"), F.lit("_"), F.col("user_id").cast("string")).alias("stem")).distinct()
+    return builds.spoken_lines(files, lines, moved=((100, -7), (150, 1)))
+
+
 query("utterance_ids", r"select split, count(distinct upper(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'))) as n_ids, count(*) as n from utterances group by 1")(
     lambda s, d: table(s, d, "utterances").select("split", F.array_join(id_parts(F.col("utterance_id")), "_").alias("i")).groupBy("split").agg(F.countDistinct("i").alias("n_ids"), F.count("*").alias("n"))
 )
@@ -494,12 +541,23 @@ query("worst_samples", "select id_recording, asr_cer from (select distinct id_re
 
 
 def _metadata(s, d):
-    """Samples prepared for a split search: main dialect, age group, no non-binary, accepted rows below the error limit."""
-    r = demographics.main_dialect(table(s, d, "samples"), table(s, d, "dialect_map")).filter(filters.none_of(F.col("gender"), "nonbinary") & filters.none_of(F.col("validated"), "rejected", "maybe"))
-    r = r.withColumn("age_group", demographics.age_group(F.col("age"))).dropDuplicates(["id_recording"])
-    return filters.below_error(r)
+    return pipelines.split_metadata(table(s, d, "samples"), table(s, d, "dialect_map"))
 
 
+query(
+    "split_metadata",
+    """with m as (select sub_dialect, min(dialect) d from dialect_map group by 1)
+    select id_recording, speaker_id, gender, case when coalesce(country_birth, 'DK') <> 'DK' then 'Non-native' else m.d end as dialect, case when age >= 0 and age < 25 then '0-24' when age >= 25 and age < 50 then '25-49' when age >= 50 then '50-' end as age_group, asr_cer
+    from samples left join m on samples.dialect = m.sub_dialect where gender is distinct from 'nonbinary' and validated is distinct from 'rejected' and validated is distinct from 'maybe' and asr_cer < 0.6""",
+)(lambda s, d: _metadata(s, d).select("id_recording", "speaker_id", "gender", "dialect", "age_group", "asr_cer"))
+query(
+    "listed_speakers",
+    """with l as (select distinct speaker_id from samples where asr_wer > 0.5 and speaker_id is not null)
+    select id_recording, split from samples join l using (speaker_id) where asr_cer < 0.6 and (split like 'train%' or validated is distinct from 'maybe') and validated is distinct from 'rejected'""",
+)(
+    lambda s, d: filters.below_error(table(s, d, "samples")).filter(filters.none_of(F.col("validated"), "rejected") & (F.col("split").startswith("train") | filters.none_of(F.col("validated"), "maybe")))
+    .join(table(s, d, "samples").filter("asr_wer > 0.5").select("speaker_id").distinct(), "speaker_id", "left_semi").select("id_recording", "split")
+)
 query(
     "speaker_profile",
     """select speaker_id, count(*) as n, round(sum(asr_cer), 6) as cer_sum, min(id_recording) as first_row, arg_min_null(location, id_recording) as location from (select distinct speaker_id, id_recording, asr_cer, location, gender from samples) where speaker_id is not null group by 1""",
@@ -541,7 +599,7 @@ def _rank_sum(s, d):
 def _split_search(s, d):
     # the spellings of a speaker are one speaker, else it could land in both splits
     bare = F.regexp_replace(F.regexp_replace(F.lower("speaker_id"), "[^0-9a-z]+", ""), "^spe", "")
-    rows = _metadata(s, d).withColumn("speaker_id", F.when(bare != "", F.concat(F.lit("spe_"), bare)))
+    rows = builds.one_per(_metadata(s, d).select("id_recording", "speaker_id", "gender", "dialect", "age_group", "asr_cer"), "id_recording").withColumn("speaker_id", F.when(bare != "", F.concat(F.lit("spe_"), bare)))
     profile = speaker_splits.speaker_profile(rows)
     n = profile.agg(F.sum("n").alias("n")).first().n or 0
     wanted = {"gender": {"female": 0.3, "male": 0.3}, "age_group": {"0-24": 0.05, "25-49": 0.1, "50-": 0.1}}
@@ -559,12 +617,38 @@ query(
 )(lambda s, d: corpus.decontaminate(table(s, d, "documents"), "text", "doc_id", table(s, d, "eval_items"), "text"))
 query(
     "sentence_corpus",
-    """with t as (select distinct trim(x) t from (select text x from samples union all select sentence from samples union all select transcript from utterances) where trim(x) <> '')
-    select t as text from t where t not in (select trim(text) from eval_items)""",
+    f"""with raw as (select 3 * row_number() over () id, text t from samples where text is not null union all select 3 * row_number() over () + 1, transcript from utterances where transcript is not null union all select 3 * row_number() over () + 2, text from eval_items where text is not null),
+    {_sql_verbalised('raw')}, clean as (select id % 3 = 2 held, {_sql_clean('t', _KEEP_SQL)} t from verbal),
+    e as (select list(t order by length(t) desc, t) l from (select distinct t from clean where held and t <> '')), c as (select distinct t from clean where not held and t <> ''),
+    d as (select t, list_reduce(list_prepend(t, l), lambda a, b: replace(a, b, '')) k from c, e), f as (select k <> t as changed, {_STRIP.format("regexp_replace(k, ' +', ' ', 'g')")} as text from d)
+    select text, changed from f where text <> ''""",
 )(
-    lambda s, d: table(s, d, "samples").select(F.trim("text").alias("text")).unionByName(table(s, d, "samples").select(F.trim("sentence").alias("text"))).unionByName(table(s, d, "utterances").select(F.trim("transcript").alias("text")))
-    .filter("text <> ''").distinct().join(table(s, d, "eval_items").select(F.trim("text").alias("text")), "text", "left_anti")
+    lambda s, d: pipelines.sentence_corpus([(table(s, d, "samples"), "text"), (table(s, d, "utterances"), "transcript")], [(table(s, d, "eval_items"), "text")], _SPEC).select("text", "changed")
 )
+def _sql_cleaned(key: str) -> str:
+    rows = f"from samples where length({_STRIP.format('text')}) > 0 and validated is distinct from 'rejected'"
+    return f"""with raw as (select row_number() over () id, text t {rows}), ids as (select row_number() over () id, id_recording {rows}),
+    {_sql_verbalised('raw')} select id_recording as {key}, {_sql_clean('t', _KEEP_SQL)} as text from verbal join ids using (id)"""
+
+
+query("evaluation_load", _sql_cleaned("id_recording"))(lambda s, d: pipelines.load_evaluation(table(s, d, "samples"), _SPEC).select("id_recording", "text"))
+query("training_load_single", _sql_cleaned("key"))(
+    lambda s, d: pipelines.load_training([Corpus(table(s, d, "samples"), "id_recording", "text")], _SPEC).select("key", "text")
+)
+
+
+def _corpora(s, d):
+    return [Corpus(table(s, d, "documents"), "doc_id", "text", probability=0.5), Corpus(table(s, d, "utterances"), "utterance_id", "transcript", probability=0.3), Corpus(table(s, d, "samples"), "id_recording", "text", probability=0.2)]
+
+
+query("training_load")(lambda s, d: pipelines.load_training(_corpora(s, d), _SPEC))
+query(
+    "training_load_counts",
+    f"""with c as (select 0 i, 0.5 p, count(*) n from documents where length({_STRIP.format('text')}) > 0 union all select 1, 0.3, count(*) from utterances where length({_STRIP.format('transcript')}) > 0
+      union all select 2, 0.2, count(*) from samples where length({_STRIP.format('text')}) > 0 and validated is distinct from 'rejected'),
+    t as (select max(n / p) t from c), w as (select i, n, cast(round(p * t) as bigint) k from c, t), r as (select i, n, k, unnest(range(0, (k + n - 1) // n)) r from w)
+    select i as source_no, cast(r as int) as repeat, least(n, k - r * n) as n from r""",
+)(lambda s, d: pipelines.load_training(_corpora(s, d), CleanSpec(numerals=False)).groupBy("source_no", "repeat").agg(F.count("*").alias("n")))
 query(
     "ngram_counts",
     r"""with t as (select list_filter(regexp_split_to_array(lower(transcript), '\s+'), lambda x: x <> '') w from utterances where transcript is not null),
@@ -579,7 +663,7 @@ def _mix(s, d):
     return corpus.interleave(parts, "key", [0.5, 0.25, 0.25])
 
 
-query("shuffle_seeded")(lambda s, d: corpus.seeded_shuffle(table(s, d, "documents").select("doc_id", "lang"), "doc_id"))
+query("shuffle_seeded", "select doc_id, lang from documents")(lambda s, d: corpus.seeded_shuffle(table(s, d, "documents").select("doc_id", "lang"), "doc_id"))
 
 # ---------------------------------------------------------------- arrays
 
@@ -591,11 +675,21 @@ query("duration", "select vec_id, len(embedding) / 16.0 as seconds from embeddin
 query("slice_audio", "select vec_id, embedding[(500 + vec_id % 1000) * 16 // 1000 + 1:(1500 + vec_id % 1000) * 16 // 1000] as wave from embeddings")(
     lambda s, d: table(s, d, "embeddings").select("vec_id", audio.time_slice(F.col("embedding"), 500 + F.col("vec_id") % 1000, 1500 + F.col("vec_id") % 1000, 16).alias("wave"))
 )
+query(
+    "segment_clips",
+    """with u as (select distinct utterance_id, length(utterance_id) % 40 v, 100 * (length(transcript) % 20) a from utterances where utterance_id is not null and transcript is not null)
+    select utterance_id, embedding[a * 16 // 1000 + 1:(a + 1000) * 16 // 1000] as audio from u join embeddings on vec_id = v""",
+)(
+    lambda s, d: builds.with_clips(
+        table(s, d, "utterances").filter("utterance_id is not null and transcript is not null").select("utterance_id", (F.length("utterance_id") % 40).cast("long").alias("stem"), (100 * (F.length("transcript") % 20)).alias("start_ms")).distinct().withColumn("end_ms", F.col("start_ms") + 1000),
+        table(s, d, "embeddings").select(F.col("vec_id").alias("stem"), F.col("embedding").alias("array")), 16,
+    ).select("utterance_id", "audio")
+)
 query("mono", "select vec_id, list_transform(range(1, 33), lambda i: round((embedding[i]::double + embedding[i + 32]::double) / 2, 6)) as wave from embeddings")(
     lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform(audio.mono(F.slice(F.col("embedding").cast("array<double>"), 1, 32), F.slice(F.col("embedding").cast("array<double>"), 33, 32)), lambda x: F.round(x, 6)).alias("wave"))
 )
-query("resample")(lambda s, d: table(s, d, "embeddings").select("vec_id", audio.resampler(8)("embedding", F.lit(16)).alias("wave")))
-query("augment")(lambda s, d: table(s, d, "embeddings").select("vec_id", audio.augmenter(4242)("embedding", F.col("vec_id")).alias("wave")))
+query("resample", "select vec_id, list_transform(range(0, len(embedding) // 2), lambda i: embedding[2 * i + 1]) as wave from embeddings")(lambda s, d: table(s, d, "embeddings").select("vec_id", audio.resampler(8)("embedding", F.lit(16)).alias("wave")))
+query("augment")(lambda s, d: table(s, d, "embeddings").select("vec_id", audio.augmenter(4242)("embedding", F.col("vec_id"), F.reverse("embedding")).alias("wave")))
 query(
     "argmax_decode",
     "select vec_id, list_transform(range(0, 8), lambda i: list_position(embedding[i * 8 + 1:i * 8 + 8], list_max(embedding[i * 8 + 1:i * 8 + 8])) - 1) as tokens from embeddings",
@@ -604,7 +698,11 @@ query(
 query("vocabulary", "with c as (select distinct unnest(string_split(replace(lower(text), ' ', '|'), '')) k from eval_items) select k as char, cast(row_number() over (order by k) - 1 as int) as id from c where k <> ''")(
     lambda s, d: collate.vocabulary(table(s, d, "eval_items").select(F.lower("text").alias("t")), "t")
 )
-query("vocabulary_json")(lambda s, d: sinks.vocabulary_json(collate.vocabulary(table(s, d, "eval_items").select(F.lower("text").alias("t")), "t")))
+query(
+    "vocabulary_json",
+    """with c as (select distinct unnest(string_split(replace(lower(text), ' ', '|'), '')) k from eval_items), v as (select k, row_number() over (order by k) - 1 id from c where k <> '')
+    select '{' || string_agg('"' || replace(replace(k, '\\', '\\\\'), '"', '\\"') || '":' || id, ',' order by id) || '}' as json from v""",
+)(lambda s, d: sinks.vocabulary_json(collate.vocabulary(table(s, d, "eval_items").select(F.lower("text").alias("t")), "t")))
 
 _ALPHABET = list("|abcdefghijklmnopqrstuvwxyzæøå")
 
@@ -620,13 +718,24 @@ def _collate(s, d):
     return collate.collate(collate.label_ids(r, "t", _ALPHABET), "batch").select("item_id", "batch", "labels")
 
 
-@query("arpa_edit")
+@query(
+    "arpa_edit",
+    r"""with g as (select unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) w from eval_items), c as (select w, count(*) n from g group by 1),
+    l as (select 1 line_no, 'ngram 1=' || (select count(*) + 2 from c) line union all select 2, 'ngram 1=7' union all select 3, '-1.0' || chr(9) || '<s>' || chr(9) || '0' union all select 3 + row_number() over (order by w), '-1.0' || chr(9) || w || chr(9) || '0' from c)
+    select line_no, 0 as part, case when line_no = 1 then 'ngram 1=' || (select count(*) + 3 from c) else line end as line from l union all select 3, 1, '-1.0' || chr(9) || '</s>' || chr(9) || '0'""",
+)
 def _arpa(s, d):
     one = corpus.ngrams(table(s, d, "eval_items"), "text", 1)
-    rows = one.select(F.concat(F.lit("-1.0\t"), "gram", F.lit("\t0")).alias("line")).union(s.createDataFrame([("ngram 1=10",), ("-1.0\t<s>\t0",)], "line string"))
-    return corpus.edit_arpa(rows.withColumn("line_no", F.xxhash64("line")))
+    # a fixed table of 300 items: its words fit into one task
+    rows = one.select(F.row_number().over(Window.orderBy("gram")).alias("n"), "gram").select((F.col("n") + 3).alias("line_no"), F.concat(F.lit("-1.0\t"), "gram", F.lit("\t0")).alias("line"))
+    head = one.agg(F.concat(F.lit("ngram 1="), (F.count("*") + 2).cast("string")).alias("line")).select(F.lit(1).alias("line_no"), "line")
+    more = s.createDataFrame([(2, "ngram 1=7"), (3, "-1.0\t<s>\t0")], "line_no int, line string")
+    return corpus.edit_arpa(head.unionByName(more).unionByName(rows))
 
 
+query("audio_hours", "select sum(len(embedding)) / (16 * 3600.0) as hours, cast(floor(sum(len(embedding)) / (16 * 3600.0) * 3600 / 4.5) as bigint) as n_samples from embeddings")(
+    lambda s, d: table(s, d, "embeddings").agg(audio.hours(F.col("embedding"), 16).alias("hours")).select("hours", audio.samples_of_hours(F.col("hours"), 4.5).alias("n_samples"))
+)
 query("source_files", r"select distinct upper(split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 2) || '_' || split_part(regexp_replace(regexp_replace(utterance_id, '\s+', '', 'g'), '[-_]+', '_', 'g'), '_', 3)) as src_fname from utterances")(
     lambda s, d: table(s, d, "utterances").select(recording_file(F.col("utterance_id")).alias("src_fname")).distinct()
 )
