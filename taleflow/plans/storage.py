@@ -50,6 +50,11 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Take charge of a folder written elsewhere, as if by :func:`materialise`."""
+    _WRITTEN[path] = spark
+
+
 def drop(path: str) -> None:
     """Delete a table of :func:`materialise`."""
     spark = _WRITTEN.pop(path, None)

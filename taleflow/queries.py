@@ -12,6 +12,7 @@ from .operators.utterances import file_periods, id_parts, recording_file
 from .plans.registry import Registry
 from .sources import readers, sinks
 from .sources.tables import table
+from .streaming import clean as streams
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -64,6 +65,12 @@ _KEEP = "abcdefghijklmnopqrstuvwxyzæøåéü0123456789.,?!:;'"
 query("clean_native", f"select doc_id, {_sql_clean('text', _KEEP.replace(chr(39), chr(39) * 2))} as clean_text from documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", text.clean(F.col("text"), keep=_KEEP).alias("clean_text"))
 )
+query("stream_clean", f"select id_recording, {_sql_clean('text', _KEEP.replace(chr(39), chr(39) * 2))} as clean_text from samples where length({_STRIP.format('text')}) > 0 and validated is distinct from 'rejected'")(
+    lambda s, d: streams.run_available(streams.clean_stream(streams.stream_table(s, d, "samples"), kept=_KEEP).select("id_recording", "clean_text"))
+)
+query("stream_counts", "with m as (select max(ts) - interval 1 day t from events) select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events, m group by 1, 2, m.t having time_bucket(interval 1 hour, ts) + interval 1 hour <= m.t")(
+    lambda s, d: streams.run_available(streams.windowed_counts(streams.stream_table(s, d, "events"), "ts", "1 hour", "1 day", "event_type")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+)
 query("clean_nfkc")(lambda s, d: table(s, d, "documents").select("doc_id", text.clean(F.col("text"), keep=_KEEP, nfkc=True).alias("clean_text")))
 
 

@@ -218,3 +218,17 @@ def test_clips_of_segments(spark):
     assert {r.id: r.audio for r in builds.with_clips(seg, rec, 8).collect()} == {"x": [0.0, 1.0, 2.0, 3.0], "y": [2.0, 3.0, 4.0, 5.0]}
 
 
+
+
+def test_late_rows_and_closed_windows(spark, tmp_path):
+    from taleflow.streaming import clean as streams
+
+    rows = [(f"2024-01-01 {h:02d}:30:00", k) for h in (1, 1, 2, 5) for k in "ab"] + [(None, "a")]
+    spark.createDataFrame(rows, "t string, k string").select(F.to_timestamp("t").alias("t"), "k").coalesce(1).write.parquet(str(tmp_path / "x" / "haendelser.parquet"))
+    # a table of the stream is one file beside others
+    part = next((tmp_path / "x" / "haendelser.parquet").glob("*.parquet"))
+    (tmp_path / "y").mkdir()
+    part.rename(tmp_path / "y" / "haendelser.parquet")
+    (tmp_path / "y" / "andet.parquet").write_bytes(b"")
+    got = streams.run_available(streams.windowed_counts(streams.stream_table(spark, str(tmp_path / "y"), "haendelser"), "t", "1 hour", "2 hours", "k")).collect()
+    assert sorted((r.start.hour, r.k, r.n) for r in got) == [(1, "a", 2), (1, "b", 2), (2, "a", 1), (2, "b", 1)]
