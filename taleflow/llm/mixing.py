@@ -50,6 +50,19 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _LOADED: dict = {}
 
 
+def _local(path: str) -> str:
+    """The tokenizer file as this worker has it: shipped with the job, or at the path itself."""
+    from os.path import basename, exists
+
+    from pyspark import SparkFiles
+
+    try:
+        shipped = SparkFiles.get(basename(path))
+    except Exception:  # outside of a job
+        return path
+    return shipped if exists(shipped) else path
+
+
 class TokenCounter:
     """Exact token counts of texts under a tokenizer file.
 
@@ -111,14 +124,15 @@ def token_counter(tokenizer: str = TOKENIZER):
     @F.pandas_udf(LongType())
     def count(texts: pd.Series) -> pd.Series:
         if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = TokenCounter(tokenizer)
+            _LOADED[tokenizer] = TokenCounter(_local(tokenizer))
         return pd.Series(_LOADED[tokenizer](["" if t is None else t for t in texts]), dtype="int64")
 
     return count
 
 
 def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, canonical source (null stays null) and n_tokens of every document."""
+    """doc_id, canonical source (null stays null) and n_tokens of every document. The tokenizer file is shipped to the executors."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     return documents.select("doc_id", C.source(F.col("source")).alias("source"), token_counter(tokenizer)(F.col("text")).alias("n_tokens"))
 
 

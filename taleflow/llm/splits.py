@@ -149,3 +149,16 @@ def split_report(assigned: DataFrame) -> DataFrame:
         .crossJoin(by_split.agg(F.sum("of_split").alias("of_all")))
         .select("split", "dialect", "n_rows", F.round(F.col("n_rows") / F.col("of_dialect"), 6).alias("share_of_dialect"), F.round(F.col("of_split") / F.col("of_all"), 6).alias("split_share"))
     )
+
+
+def split_check(assigned: DataFrame, samples: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS, tolerance: float = 0.02) -> DataFrame:
+    """One row: n_rows assigned, speakers and conversations in more than one split, and whether every split's share is within the tolerance."""
+    speakers = assigned.filter("speaker_id is not null").groupBy("speaker_id").agg(F.countDistinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_split_speakers"))
+    ties = samples.select(C.speaker(F.col("speaker_id")).alias("speaker_id"), C.conversation(F.col("id_conversation")).alias("c")).filter("speaker_id is not null and c is not null").distinct()
+    of = assigned.filter("speaker_id is not null").select("speaker_id", "split").distinct()
+    conversations = ties.join(of, "speaker_id").groupBy("c").agg(F.countDistinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_split_conversations"))
+    near = F.lit(True)
+    for s, p in splits:
+        near = near & (F.abs(F.count_if(F.col("split") == s) / F.count("*") - p) <= tolerance)
+    whole = assigned.agg(F.count("*").alias("n_rows"), near.alias("shares_hold"))
+    return whole.crossJoin(speakers).crossJoin(conversations).select("n_rows", "n_split_speakers", "n_split_conversations", "shares_hold")

