@@ -42,7 +42,9 @@ def _long(values: DataFrame) -> DataFrame:
 def _plan(targets: DataFrame, values: DataFrame, keep_shares: bool, seed: int) -> DataFrame:
     """Targets with what there is and what is wanted, the inclusion probability and the place of the value on the plan's line.
 
-    As many rows as targets; a target given twice counts once, with its
+    As many rows as targets, and written before use, so that its size decides
+    how it is joined: the records have few values, and a shuffle by value
+    would put a third of them into one task. A target given twice counts once, with its
     greatest share and floor.
     """
     counts = _long(values).groupBy("category", "cat_value").agg(F.count("*").alias("n_have"))
@@ -95,7 +97,7 @@ def draw(samples: DataFrame, targets: DataFrame, dialect_map: DataFrame, seed: i
     id_recording. An empty table gives an empty sample.
     """
     values = materialise(category_values(samples, dialect_map), "category-values")
-    return _drawn(values, _plan(targets, values, keep_shares, seed), seed, buckets)
+    return _drawn(values, materialise(_plan(targets, values, keep_shares, seed), "plan"), seed, buckets)
 
 
 def sample_report(samples: DataFrame, targets: DataFrame, dialect_map: DataFrame, seed: int = 42, buckets: int = 64, keep_shares: bool = False) -> DataFrame:
@@ -105,7 +107,7 @@ def sample_report(samples: DataFrame, targets: DataFrame, dialect_map: DataFrame
     fewer than wanted. With ``keep_shares`` the shrunk draw decides.
     """
     values = materialise(category_values(samples, dialect_map), "category-values")
-    plan = _plan(targets, values, keep_shares, seed)
+    plan = materialise(_plan(targets, values, keep_shares, seed), "plan")
     drawn = _drawn(values, plan, seed, buckets).groupBy("plan_id", "category", "cat_value").agg(F.count("*").alias("n_drawn"), F.sum(F.col("repaired").cast("int")).alias("n_repaired"))
     out = plan.join(drawn, ["plan_id", "category", "cat_value"], "left").fillna(0, ["n_drawn", "n_repaired"])
     out = out.withColumn("of_plan", F.sum("n_drawn").over(Window.partitionBy("plan_id", "category")))
