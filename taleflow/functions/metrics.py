@@ -17,20 +17,39 @@ _ERROR = 1 << 31
 _CELLS = 1 << 20
 
 
+def _common(a: list, b: list) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
 def align(refs: list[list], hyps: list[list]) -> np.ndarray:
     """(hits, substitutions, deletions, insertions) per pair, of the alignment with the fewest errors and then the fewest insertions.
 
-    This fixes all four numbers, whatever path an alignment takes. The pairs
-    of a block are worked on together, one row of all their tables at a time,
+    This fixes all four numbers, whatever path an alignment takes. Equal
+    beginnings and ends are matched first, which costs neither. The pairs of a
+    block are worked on together, one row of all their tables at a time,
     so a table is never held as a whole.
     """
     out = np.zeros((len(refs), 4), np.int64)
     codes: dict = {}
     rest = []
+    refs, hyps = list(refs), list(hyps)
     for k, (r, h) in enumerate(zip(refs, hyps)):
-        if r == h:
-            out[k, 0] = len(r)
-        else:
+        same = _common(r, h)
+        r, h = r[same:], h[same:]
+        tail = _common(r[::-1], h[::-1])
+        refs[k], hyps[k] = r[: len(r) - tail], h[: len(h) - tail]
+        out[k, 0] = same + tail
+        if r or h:
             rest.append(k)
     rest.sort(key=lambda k: (len(hyps[k]), len(refs[k])))
     at = 0
@@ -62,7 +81,7 @@ def align(refs: list[list], hyps: list[list]) -> np.ndarray:
         errors, ins = cost // _ERROR, cost % _ERROR
         deleted = ins + n - m
         replaced = errors - deleted - ins
-        out[block] = np.stack([n - replaced - deleted, replaced, deleted, ins], axis=1)
+        out[block] += np.stack([n - replaced - deleted, replaced, deleted, ins], axis=1)
     return out
 
 
