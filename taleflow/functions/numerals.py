@@ -54,7 +54,9 @@ def verbalise(text: Column, table: Column) -> Column:
     """Every numeral of a text in words."""
     gaps = F.split(text, NUMERAL, -1)
     found = F.transform(F.regexp_extract_all(text, F.lit(NUMERAL), 0), lambda n: spoken(n, table))
-    return F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("n")), lambda x: F.concat(F.coalesce(x["g"], F.lit("")), F.coalesce(x["n"], F.lit("")))), "")
+    spoken_ = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("n")), lambda x: F.concat(F.coalesce(x["g"], F.lit("")), F.coalesce(x["n"], F.lit("")))), "")
+    # most texts have no digit at all
+    return F.when(text.rlike(r"(?U)\d"), spoken_).otherwise(text)
 
 
 def with_words(df: DataFrame) -> DataFrame:
