@@ -1,4 +1,4 @@
-"""Cutting lineage through the folder that all executors share."""
+"""Cutting lineage through written tables in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -28,12 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 

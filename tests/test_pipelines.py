@@ -232,3 +232,28 @@ def test_late_rows_and_closed_windows(spark, tmp_path):
     (tmp_path / "y" / "andet.parquet").write_bytes(b"")
     got = streams.run_available(streams.windowed_counts(streams.stream_table(spark, str(tmp_path / "y"), "haendelser"), "t", "1 hour", "2 hours", "k")).collect()
     assert sorted((r.start.hour, r.k, r.n) for r in got) == [(1, "a", 2), (1, "b", 2), (2, "a", 1), (2, "b", 1)]
+
+
+def test_text_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", "en\u00f8", 0.5), ("b", "to", None)], "id string, text string, cer double")
+    sinks.write_scores(df, str(tmp_path / "scores"))
+    sinks.write_metadata(df, str(tmp_path / "meta"))
+    sinks.write_sentences(df, "text", str(tmp_path / "text"))
+    for name in ("scores", "meta"):
+        back = readers.read_csv(spark, str(tmp_path / name), "id string, text string, cer double").collect()
+        assert sorted(map(tuple, back), key=str) == [("a", "enø", 0.5), ("b", "to", None)]
+    assert len(list((tmp_path / "scores").glob("*.csv"))) == 1
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "text")).collect()) == ["enø", "to"]
+
+
+def test_tables_are_released(spark):
+    import os
+
+    from taleflow.plans import storage
+
+    with storage.scratch():
+        a = storage.materialise(spark.range(3))
+        b = storage.materialise(spark.range(4))
+        storage.release(a)
+        assert not os.path.exists(a._taleflow_path) and b.count() == 4
+    assert not os.path.exists(b._taleflow_path)
