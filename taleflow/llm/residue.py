@@ -261,8 +261,11 @@ def _unquoted(text: str) -> str:
         return text
 
     def blank(m: re.Match) -> str:
-        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()] + (text[m.end() :].split("\n", 1)[0])
-        return " " * len(m[0]) if len(line.split()) >= 3 else m[0]
+        # three words beside it are enough, so a long line is not read for every quotation in it
+        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end(), m.end() + 400)
+        before = text[max(start, m.start() - 400) : m.start()].split()
+        after = text[m.end() : end if end >= 0 else m.end() + 400].split()
+        return " " * len(m[0]) if len(before) + len(after) >= 3 else m[0]
 
     return _QUOTATION.sub(blank, text)
 
