@@ -114,10 +114,15 @@ def rest_segments(n: int, i: int, per: int = WORDS_PER_EDIT) -> tuple[tuple[int,
 
 
 @lru_cache(maxsize=1 << 17)
-def word_hash(word: str) -> int:
+def _short_word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
+def word_hash(word: str) -> int:
+    # words of no language do not fill the cache
+    return _short_word_hash(word) if len(word) <= 64 else xxhash.xxh64_intdigest(word)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)

@@ -44,6 +44,8 @@ FRAME = 1000
 RARE = 2.0**-20
 #: Entries of a worker's cache of token counts.
 CACHE = 1 << 20
+#: Longer pieces are not remembered.
+LONG_PIECE = 64
 
 # Fixed value: how byte-level BPE of this kind cuts a text before it merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -89,9 +91,9 @@ class TokenCounter:
     def _count(self, text: str) -> int:
         ps, known = self.pieces.findall(text), self.of_piece
         new = [p for p in set(ps) if p not in known]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[p] = len(e.ids)
-        return sum(known[p] for p in ps)
+        fresh = {p: len(e.ids) for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
+        known.update((p, n) for p, n in fresh.items() if len(p) <= LONG_PIECE)
+        return sum(fresh[p] if p in fresh else known[p] for p in ps)
 
     def __call__(self, texts: list[str]) -> list[int]:
         if self.pieces is None:
@@ -112,7 +114,9 @@ class TokenCounter:
             for chunk in rest:
                 k = known.get(chunk)
                 if k is None:
-                    k = known[chunk] = self._count(" " + chunk)
+                    k = self._count(" " + chunk)
+                    if len(chunk) <= LONG_PIECE:
+                        known[chunk] = k
                 n += k
             out.append(n)
         return out

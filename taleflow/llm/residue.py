@@ -36,6 +36,8 @@ RECURRENT_SHARE = 0.001
 RECURRENT = 3
 MAIN_SHARE = 0.5
 TITLE_WORDS = 5
+#: Longer words are not remembered.
+LONG_WORD = 64
 #: Longest line, in words, that can be an error message as a whole, and a notice about scripts.
 MESSAGE_WORDS = 20
 NOTICE_WORDS = 24
@@ -180,7 +182,7 @@ def _is_mash(w: str) -> bool:
         return False
     if len(set(w)) == 1:
         return True
-    for k in range(3, len(w) + 1):
+    for k in range(3, min(len(w), len(_ROWS[-1])) + 1):
         head = w[:k]
         if any(head in r for r in _ROWS) and (head * (len(w) // k + 1))[: len(w)] == w and (len(w) % k == 0 or len(w) > k):
             return True
@@ -212,6 +214,11 @@ def kinds_of(word: str) -> int:
     return out
 
 
+def _kinds(word: str) -> int:
+    # words of no language do not fill the cache
+    return kinds_of(word) if len(word) <= LONG_WORD else kinds_of.__wrapped__(word)
+
+
 _B = type("Bits", (), BIT)  # the bits by name
 #: Kinds of words that begin a request for text, a sample text or advice.
 _STARTERS = _B.ask | _B.todo | _B.sample | _B.sampletext | _B.retry | _B.contact | _B.reload | _B.banner | _B.check | _B.back
@@ -437,7 +444,7 @@ def weigh(text: str) -> tuple[bool, int, list[tuple[int, int]], list[int]]:
                 continue
             key = line_key(ws)
             keys.append(key)
-            ks = [kinds_of(w) for w in ws]
+            ks = [_kinds(w) for w in ws]
             m = _union(ks)
             letters = sum(map(len, ws))
             n = len(ws)
