@@ -34,9 +34,16 @@ class CleanSpec:
         return df.drop("number_words") if self.numerals else df
 
 
-def with_counts(df: DataFrame, reference: str, prediction: str) -> DataFrame:
-    """Add the alignment counts of characters and words as ``chars`` and ``words``."""
-    return df.withColumns({"chars": metrics.char_counts(reference, prediction), "words": metrics.word_counts(reference, prediction)})
+def with_counts(df: DataFrame, reference: str, prediction: str, once: bool = False) -> DataFrame:
+    """Add the alignment counts of characters and words as ``chars`` and ``words``.
+
+    ``once`` where a filter on them follows: the optimizer would put it below, with
+    copies of the alignment and of the cleaning, so that texts would wait for the
+    Python workers uncleaned, each with the word table, and be worked on twice.
+    What depends on the partition, as the condition here does by its form, is not copied.
+    """
+    counts = {"chars": metrics.char_counts(reference, prediction), "words": metrics.word_counts(reference, prediction)}
+    return df.withColumns({k: F.when(F.spark_partition_id() >= 0, c) for k, c in counts.items()} if once else counts)
 
 
 def with_groups(df: DataFrame, dialect_map: DataFrame, strict: bool = False) -> DataFrame:
@@ -71,9 +78,12 @@ def validate(samples: DataFrame, spec: CleanSpec, model: str, reference: str = "
     ``max_cer`` only rows strictly below stay.
     """
     rows = filters.filter_samples(samples, reference, array, rate, 0.25, 3600.0)
+    if max_cer is not None:
+        # without a prediction there is no rate below the limit
+        rows = rows.filter(F.col(prediction).isNotNull())
     own = [c for c in rows.columns if c not in (prediction, "asr_label", "asr_validation_model", "asr_cer", "asr_wer", "asr_prediction")]
     rows = rows.select(*own, F.col(prediction).alias("asr_prediction"), F.col(reference).alias("asr_label"))
-    rows = with_counts(spec.apply(rows, "asr_prediction", "asr_label"), "asr_label", "asr_prediction")
+    rows = with_counts(spec.apply(rows, "asr_prediction", "asr_label"), "asr_label", "asr_prediction", once=max_cer is not None)
     rows = rows.withColumns({"asr_validation_model": F.lit(model), "asr_cer": metrics.row_rate(F.col("chars")), "asr_wer": metrics.row_rate(F.col("words"))}).drop("chars", "words")
     return rows if max_cer is None else filters.below_error(rows, "asr_cer", max_cer)
 

@@ -63,6 +63,26 @@ def test_validation(spark):
     assert pipelines.validate(short, SPEC, "m", array="wave", rate=16).count() == 2 and pipelines.validate(short, SPEC, "m", array="wave", rate=20).count() == 0
 
 
+def waiting(df):
+    """For every step of Python workers in the plan, the columns of the rows that wait for them."""
+    out, nodes = [], [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        n = nodes.pop()
+        kids = [n.children().apply(i) for i in range(n.children().size())]
+        if n.nodeName() == "ArrowEvalPython":
+            columns = kids[0].output()
+            out.append({columns.apply(i).name() for i in range(columns.size())})
+        nodes += kids
+    return out
+
+
+def test_validation_aligns_cleaned_texts_once(spark):
+    rows = [("a", "En hund", "en hund", None, None, None, None, None, None), ("b", "2 mus", None, None, None, None, None, None, None)]
+    got = pipelines.validate(spark.createDataFrame(rows, SAMPLE), SPEC, "m").select("id_recording", "asr_prediction", "asr_label", "asr_cer", "asr_wer")
+    assert waiting(got) == [{"id_recording", "asr_prediction", "asr_label"}]
+    assert [tuple(r) for r in got.collect()] == [("a", "en hund", "en hund", 0.0, 0.0)]
+
+
 def test_training_load(spark):
     a = spark.createDataFrame([(1, "EN 2", None), (2, " ", None), (3, "tre", "rejected"), (4, "fire", None)], "id int, t string, validated string")
     b = spark.createDataFrame([("x", "hunden")], "k string, tekst string")
