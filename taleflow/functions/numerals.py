@@ -44,7 +44,9 @@ def spoken(numeral: Column, table: Column) -> Column:
     millions = F.concat(t(m), F.when(m == 1, " million").otherwise(" millioner"), rest(low, lower))
     words = F.when(v == 100, "hundrede").when(v == 1000, "tusind").when(v < 1000, t(v)).when(v < 1_000_000, lower).otherwise(millions)
     words = F.when(F.length(whole) > 9, whole).otherwise(words)
-    digits = F.transform(F.split(F.substring_index(numeral, ",", -1), ""), lambda d: F.when(d == "1", "et").otherwise(F.get(table, d.try_cast("int"))))
+    # of its own: a Python function whose argument has a lambda within a lambda that refers to the outer one is not found by the planner
+    decimals = F.array(*[F.lit("et" if i == 1 else w) for i, w in enumerate(UNITS[:10])])
+    digits = F.transform(F.split(F.substring_index(numeral, ",", -1), ""), lambda d: F.get(decimals, d.try_cast("int")))
     full = F.when(F.instr(numeral, ",") > 0, F.concat(words, F.lit(" komma "), F.array_join(digits, " "))).otherwise(words)
     ok = numeral.rlike(f"^{NUMBER}$")
     return F.when(ok, full).otherwise(numeral)
@@ -52,8 +54,21 @@ def spoken(numeral: Column, table: Column) -> Column:
 
 def verbalise(text: Column, table: Column) -> Column:
     """Every numeral of a text in words."""
+    return _replaced(text, F.transform(F.regexp_extract_all(text, F.lit(NUMERAL), 0), lambda n: spoken(n, table)))
+
+
+def in_words(text: Column) -> Column:
+    """The same with the word table as a constant: no row carries it along, as rows that wait for a Python worker would."""
+    table = F.split(F.lit(",".join(below_thousand(i) for i in range(1000))), ",")
+    found = F.regexp_extract_all(text, F.lit(NUMERAL), 0)
+    # the table beside each numeral, so that it stands in the plan once and not for each of its uses
+    beside = F.arrays_zip(found.alias("n"), F.array_repeat(table, F.size(found)).alias("table"))
+    return _replaced(text, F.transform(beside, lambda x: spoken(x["n"], x["table"])))
+
+
+def _replaced(text: Column, found: Column) -> Column:
+    """The text with ``found`` in the places of its numerals."""
     gaps = F.split(text, NUMERAL, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(NUMERAL), 0), lambda n: spoken(n, table))
     spoken_ = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("n")), lambda x: F.concat(F.coalesce(x["g"], F.lit("")), F.coalesce(x["n"], F.lit("")))), "")
     # most texts have no digit at all
     return F.when(text.rlike(r"(?U)\d"), spoken_).otherwise(text)

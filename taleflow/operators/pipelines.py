@@ -26,20 +26,17 @@ class CleanSpec:
 
     def apply(self, df: DataFrame, *columns: str) -> DataFrame:
         """``df`` with the columns cleaned in place; numerals become words before anything else."""
-        if self.numerals:
-            df = numerals.with_words(df)
         for c in columns:
-            raw = numerals.verbalise(F.col(c), F.col("number_words")) if self.numerals else F.col(c)
+            raw = numerals.in_words(F.col(c)) if self.numerals else F.col(c)
             df = df.withColumn(c, text.clean(raw, self.lower, self.keep, self.conversions, self.nfkc))
-        return df.drop("number_words") if self.numerals else df
+        return df
 
 
 def with_counts(df: DataFrame, reference: str, prediction: str, once: bool = False) -> DataFrame:
     """Add the alignment counts of characters and words as ``chars`` and ``words``.
 
     ``once`` where a filter on them follows: the optimizer would put it below, with
-    copies of the alignment and of the cleaning, so that texts would wait for the
-    Python workers uncleaned, each with the word table, and be worked on twice.
+    copies of the alignment and of the cleaning, and texts would be worked on twice.
     What depends on the partition, as the condition here does by its form, is not copied.
     """
     counts = {"chars": metrics.char_counts(reference, prediction), "words": metrics.word_counts(reference, prediction)}

@@ -83,6 +83,16 @@ def test_validation_aligns_cleaned_texts_once(spark):
     assert [tuple(r) for r in got.collect()] == [("a", "en hund", "en hund", 0.0, 0.0)]
 
 
+def test_validation_counts_carry_no_word_table(spark):
+    rows = [("a", "I alt 1.234,51 kroner", "i alt et tusind to hundrede og fireogtredive komma fem et kroner", None, None, None, None, None, None), ("b", "2 mus", "xx yyy zzzzz", None, None, None, None, None, None), ("c", "2 mus", None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SAMPLE)
+    got = pipelines.removed(pipelines.validate(df, SPEC, "m", max_cer=None), pipelines.validate(df, SPEC, "m"))
+    assert tuple(got.first()) == (3, 1)
+    # nor do rows that are validated without a limit
+    for plan in (got, pipelines.validate(df, SPEC, "m", max_cer=None).select("asr_cer")):
+        assert ["number_words" in columns for columns in waiting(plan)] == [False]
+
+
 def test_training_load(spark):
     a = spark.createDataFrame([(1, "EN 2", None), (2, " ", None), (3, "tre", "rejected"), (4, "fire", None)], "id int, t string, validated string")
     b = spark.createDataFrame([("x", "hunden")], "k string, tekst string")
